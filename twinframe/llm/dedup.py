@@ -24,10 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._io import discard, without, written
+from ._io import discard, small_batches, without, written
 
 WORDS, PERCENT = 5, 80
 BIG, HOT_TOKENS, HOT_SAMPLE = 128, 200_000, 16
+ALWAYS = 1 << 32  # in place of a count: the pair is verified whatever the count
 POSTING = np.dtype([("t", "<u8"), ("s", "<i8"), ("n", "<u4"), ("p", "<u4")])
 
 _WHITE = np.zeros(256, bool)
@@ -35,7 +36,7 @@ _WHITE[[32, 9, 10, 11, 12, 13]] = True
 _K = np.uint64(0x9E3779B97F4A7C15)
 _BYTE = (np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) ^ (np.arange(1, 257, dtype=np.uint64) * _K >> np.uint64(31))
 _POWER = np.cumprod(np.full(4096, np.uint64(0xA0761D6478BD642F)), dtype=np.uint64)
-_BLOCK = 1 << 22
+_BLOCK = 1 << 20
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -125,7 +126,7 @@ def prefix(h: np.ndarray, hot: np.ndarray, rank: np.ndarray, percent: int = PERC
     return h[: n - (percent * n + 99) // 100 + 1]
 
 
-def _texts(batches, text: str, rows: int = 1000):
+def _texts(batches, text: str, rows: int = 250):
     for batch in batches:
         column = batch.column(batch.schema.names.index(text))
         for start in range(0, len(column), rows):
@@ -165,7 +166,7 @@ def _hot(docs: DataFrame, text: str, parts: int) -> tuple[np.ndarray, np.ndarray
                     seen.add(s)
                     held.append(h)
                     size += len(h)
-            if size > 1 << 20:
+            if size > 1 << 18:
                 yield _blobs(held, np.concatenate(held), parts)
                 held, size = [], 0
         if held:
@@ -185,7 +186,7 @@ def _hot(docs: DataFrame, text: str, parts: int) -> tuple[np.ndarray, np.ndarray
 
 
 def _candidates(p: np.ndarray, percent: int, big: int) -> tuple[np.ndarray, np.ndarray]:
-    """(pairs, postings of long lists) of one part's postings."""
+    """(pairs as _counted gives them, postings of long lists) of one part's postings."""
     p = p[np.lexsort((p["s"], p["n"], p["t"]))]
     same = np.concatenate([[False], (p["t"][1:] == p["t"][:-1]) & (p["s"][1:] == p["s"][:-1])])
     p = p[~same]
@@ -195,38 +196,43 @@ def _candidates(p: np.ndarray, percent: int, big: int) -> tuple[np.ndarray, np.n
     p, size = p[keep], size[size > 1]
     end = np.repeat(np.cumsum(size), size)
     long = np.repeat(size > big, size)
-    n, at, s = p["n"].astype(np.int64), p["p"].astype(np.int64), p["s"]
-    pairs = []
-
-    def passing(i, j):
-        return np.minimum(n[i] - at[i], n[j] - at[j]) >= least_overlap(n[i], n[j], percent)
+    n, s = p["n"].astype(np.int64), p["s"]
+    found = []
 
     i, step = np.flatnonzero(~long), 1
     while len(i):
         i = i[i + step < end[i]]
         i = i[100 * n[i] >= percent * n[i + step]]  # sizes rise along a list: all partners further on are skipped
-        j = i + step
-        ok = passing(i, j)
-        pairs.append(np.stack([s[i[ok]], s[j[ok]]], 1))
+        found.append((i, i + step, 1))
         step += 1
-    # long lists: each set with its leader, the first of a run of sizes within a twentieth, and with the next run's
+    # long lists: each set with its leader, the first of a run of sizes within a twentieth, and with its neighbour
     i = np.flatnonzero(long)
     if len(i):
-        start, leaders = -1, np.zeros(len(p), np.int64)
-        last = -1
+        leaders, start, last = np.zeros(len(p), np.int64), -1, -1
         for k in i:
             if end[k] != last or 100 * n[start] < 95 * n[k]:
                 start, last = k, end[k]
             leaders[k] = start
-        j = leaders[i]
-        ok = (i != j) & (100 * n[j] >= percent * n[i])
-        pairs.append(np.stack([s[i[ok]], s[j[ok]]], 1))
-        follow = i[(i + 1 < end[i])]
-        follow = follow[(100 * n[follow] >= percent * n[follow + 1])]
-        pairs.append(np.stack([s[follow], s[follow + 1]], 1))
-    both = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
-    both = np.sort(both, axis=1)
-    return (np.unique(both, axis=0) if len(both) else both), p[long]
+        found.append((leaders[i[leaders[i] != i]], i[leaders[i] != i], ALWAYS))
+        i = i[i + 1 < end[i]]
+        i = i[100 * n[i] >= percent * n[i + 1]]
+        found.append((i, i + 1, ALWAYS))
+    return _counted(s, n, found), p[long]
+
+
+def _counted(s: np.ndarray, n: np.ndarray, found: list) -> np.ndarray:
+    """Columns a < b, their sizes, and in how many lists they met."""
+    i, j = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+    weight = np.concatenate([np.full(len(f[0]), f[2]) for f in found]) if found else np.zeros(0, np.int64)
+    swap = s[i] > s[j]
+    i, j = np.where(swap, j, i), np.where(swap, i, j)
+    order = np.lexsort((s[j], s[i]))
+    i, j, weight = i[order], j[order], weight[order]
+    if not len(i):
+        return np.zeros((0, 5), np.int64)
+    edge = np.flatnonzero(np.concatenate([[True], (s[i][1:] != s[i][:-1]) | (s[j][1:] != s[j][:-1])]))
+    i, j, c = i[edge], j[edge], np.add.reduceat(weight, edge)
+    return np.stack([s[i], s[j], n[i], n[j], np.minimum(c, ALWAYS)], 1)
 
 
 def _across(p: np.ndarray, label: np.ndarray, percent: int) -> np.ndarray:
@@ -322,6 +328,11 @@ def components(df: DataFrame, key: str = "doc_id", text: str = "text", percent:
     """
     if not 50 < percent <= 100:
         raise ValueError("percent must be over 50, and 100 at most")
+    with small_batches(df.sparkSession, 1000):
+        return _components(df, key, text, percent, big)
+
+
+def _components(df: DataFrame, key: str, text: str, percent: int, big: int) -> DataFrame:
     spark = df.sparkSession
     docs = df.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("text"))
     parts = _parts(docs)
@@ -347,7 +358,7 @@ def components(df: DataFrame, key: str = "doc_id", text: str = "text", percent:
                 rows["t"], rows["s"], rows["n"], rows["p"] = first, s, len(h), np.arange(len(first))
                 held.append(rows)
                 size += len(rows)
-            if size > 1 << 19:
+            if size > 1 << 17:
                 yield _blobs(held, np.concatenate([x["t"] for x in held]), parts)
                 held, size = [], 0
         if held:
@@ -355,16 +366,27 @@ def components(df: DataFrame, key: str = "doc_id", text: str = "text", percent:
 
     def candidates(t: pa.Table) -> pa.Table:
         pairs, long = _candidates(_joined(t, POSTING), percent, big)
-        made = _pair_table(pairs)
-        nothing = pa.nulls(len(made), pa.int64())
-        out = made.append_column("t", nothing).append_column("n", nothing).append_column("p", nothing)
-        columns = {"a": long["s"], "b": long["s"], "t": long["t"].view(np.int64), "n": long["n"].astype(np.int64), "p": long["p"].astype(np.int64)}
+        names = ("a", "b", "na", "nb", "met")
+        out = pa.table({k: pa.array(np.ascontiguousarray(pairs[:, i]), pa.int64()) for i, k in enumerate(names)})
+        for k in ("t", "p"):
+            out = out.append_column(k, pa.nulls(len(out), pa.int64()))
+        size = long["n"].astype(np.int64)
+        columns = {"a": long["s"], "b": long["s"], "na": size, "nb": size, "met": size, "t": long["t"].view(np.int64), "p": long["p"].astype(np.int64)}
         return pa.concat_tables([out, pa.table({k: pa.array(np.ascontiguousarray(v), pa.int64()) for k, v in columns.items()})])
 
-    schema = "a bigint, b bigint, t bigint, n bigint, p bigint"
+    schema = "a bigint, b bigint, na bigint, nb bigint, met bigint, t bigint, p bigint"
     found = written(docs.mapInArrow(postings, "part int, blob binary").groupBy("part").applyInArrow(candidates, schema), "candidates")
-    pairs = found.where("t is null").select("a", "b").distinct()
-    needed = found.select(F.col("a").alias("s")).unionByName(found.select(F.col("b").alias("s"))).distinct()
+    # Two sets share no more than the first tokens they have in common (those in short lists are counted, those in long
+    # lists are taken as common) and what lies behind the first tokens of the one whose first tokens end earlier.
+    long = found.where("t is not null")
+    slack = long.groupBy("a").agg(F.count(F.lit(1)).alias("long"))
+    behind = lambda n: F.floor((percent * F.col(n) + 99) / 100) - 1
+    pairs = found.where("t is null").groupBy("a", "b").agg(F.sum("met").alias("met"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    pairs = pairs.join(slack, "a", "left").withColumnRenamed("long", "la").join(slack.withColumnRenamed("a", "b"), "b", "left")
+    most = F.col("met") + F.least(F.coalesce("la", F.lit(0)), F.coalesce("long", F.lit(0))) + F.greatest(behind("na"), behind("nb"))
+    pairs = written(pairs.where((100 + percent) * most >= percent * (F.col("na") + F.col("nb"))).select("a", "b"), "pairs")
+    every = [pairs.select(F.col("a").alias("s")), pairs.select(F.col("b").alias("s")), long.select(F.col("a").alias("s"))]
+    needed = every[0].unionByName(every[1]).unionByName(every[2]).distinct()
 
     def blobs(batches):
         done = set()
@@ -375,10 +397,13 @@ def components(df: DataFrame, key: str = "doc_id", text: str = "text", percent:
 
     wanted = owners.join(needed, "s").select(F.col("owner").alias("k"))
     sets = written(docs.join(wanted, "k", "left_semi").select("text").mapInArrow(blobs, "s bigint, blob binary"), "sets")
-    linked = written(verified(pairs, sets, percent), "links")
-    if not found.where("t is not null").isEmpty():
+    with small_batches(spark, 200):
+        linked = written(verified(pairs, sets, percent), "links")
+    if not long.isEmpty():
         known = classes(linked)
-        long = found.where("t is not null").select(F.col("a").alias("node"), "t", "n", "p").join(known, "node", "left").select("t", F.col("node").alias("s"), "n", "p", F.coalesce("root", "node").alias("label"))
+        long = long.select(F.col("a").alias("node"), "t", F.col("na").alias("n"), "p").join(known, "node", "left").select("t", F.col("node").alias("s"), "n", "p", F.coalesce("root", "node").alias("label"))
+        mixed = long.groupBy("t").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("t")
+        long = long.join(mixed, "t")  # lists within one class have no more to tell
 
         def across(t: pa.Table) -> pa.Table:
             t = t.sort_by([("n", "ascending"), ("s", "ascending")])
@@ -388,7 +413,8 @@ def components(df: DataFrame, key: str = "doc_id", text: str = "text", percent:
             return _pair_table(_across(rows, t.column("label").to_numpy(), percent))
 
         more = long.groupBy("t").applyInArrow(across, "a bigint, b bigint").distinct()
-        linked = linked.unionByName(written(verified(more, sets, percent), "links"))
+        with small_batches(spark, 200):
+            linked = linked.unionByName(written(verified(more, sets, percent), "links"))
     roots = classes(linked)
     named = owners.join(roots.withColumnRenamed("node", "s"), "s", "left").select("s", "owner", F.coalesce("root", "s").alias("root"))
     least = named.groupBy("root").agg(F.min("owner").alias("least"))
