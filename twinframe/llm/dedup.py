@@ -24,11 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._io import discard, small_batches, without, written
+from ._io import discard, give_back, small_batches, without, written
 
 WORDS, PERCENT = 5, 80
 BIG, HOT_TOKENS, HOT_SAMPLE = 128, 200_000, 16
-ALWAYS = 1 << 32  # in place of a count: the pair is verified whatever the count
 POSTING = np.dtype([("t", "<u8"), ("s", "<i8"), ("n", "<u4"), ("p", "<u4")])
 
 _WHITE = np.zeros(256, bool)
@@ -131,6 +130,7 @@ def _texts(batches, text: str, rows: int = 250):
         column = batch.column(batch.schema.names.index(text))
         for start in range(0, len(column), rows):
             yield batch.slice(start, rows), shingle_sets(column.slice(start, rows).to_pylist())
+    give_back()
 
 
 def _blobs(arrays: list[np.ndarray], key: np.ndarray, parts: int) -> pa.RecordBatch:
@@ -203,39 +203,43 @@ def _candidates(p: np.ndarray, percent: int, big: int) -> tuple[np.ndarray, np.n
     while len(i):
         i = i[i + step < end[i]]
         i = i[100 * n[i] >= percent * n[i + step]]  # sizes rise along a list: all partners further on are skipped
-        found.append((i, i + step, 1))
+        found.append((i, i + step))
         step += 1
-    # long lists: each set with its leader, the first of a run of sizes within a twentieth, and with its neighbour
-    i = np.flatnonzero(long)
-    if len(i):
-        leaders, start, last = np.zeros(len(p), np.int64), -1, -1
-        for k in i:
-            if end[k] != last or 100 * n[start] < 95 * n[k]:
-                start, last = k, end[k]
-            leaders[k] = start
-        found.append((leaders[i[leaders[i] != i]], i[leaders[i] != i], ALWAYS))
-        i = i[i + 1 < end[i]]
-        i = i[100 * n[i] >= percent * n[i + 1]]
-        found.append((i, i + 1, ALWAYS))
     return _counted(s, n, found), p[long]
 
 
 def _counted(s: np.ndarray, n: np.ndarray, found: list) -> np.ndarray:
     """Columns a < b, their sizes, and in how many lists they met."""
     i, j = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
-    weight = np.concatenate([np.full(len(f[0]), f[2]) for f in found]) if found else np.zeros(0, np.int64)
     swap = s[i] > s[j]
     i, j = np.where(swap, j, i), np.where(swap, i, j)
     order = np.lexsort((s[j], s[i]))
-    i, j, weight = i[order], j[order], weight[order]
+    i, j = i[order], j[order]
     if not len(i):
         return np.zeros((0, 5), np.int64)
     edge = np.flatnonzero(np.concatenate([[True], (s[i][1:] != s[i][:-1]) | (s[j][1:] != s[j][:-1])]))
-    i, j, c = i[edge], j[edge], np.add.reduceat(weight, edge)
-    return np.stack([s[i], s[j], n[i], n[j], np.minimum(c, ALWAYS)], 1)
+    c = np.diff(np.concatenate([edge, [len(i)]]))
+    i, j = i[edge], j[edge]
+    return np.stack([s[i], s[j], n[i], n[j], c], 1)
 
 
-def _across(p: np.ndarray, label: np.ndarray, percent: int) -> np.ndarray:
+def _led(p: np.ndarray, label: np.ndarray, often: np.ndarray, percent: int) -> np.ndarray:
+    """Pairs of a long list's leader, the set that most long lists hold (of equals the smallest), with the sets of other
+    classes that it can reach; then the same among the sets whose sizes are out of its reach."""
+    n, at, s = p["n"].astype(np.int64), p["p"].astype(np.int64), p["s"]
+    left, out = np.lexsort((s, -often)), []
+    while len(left) > 1:
+        i = left[0]
+        near = (100 * n[left] >= percent * n[i]) & (100 * n[i] >= percent * n[left])
+        j = left[near]
+        j = j[(label[j] != label[i]) & (np.minimum(n[i] - at[i], n[j] - at[j]) >= least_overlap(n[i], n[j], percent))]
+        out.append(np.stack([np.full(len(j), s[i]), s[j]], 1))
+        left = left[~near]
+    both = np.sort(np.concatenate(out), axis=1) if out else np.zeros((0, 2), np.int64)
+    return np.unique(both, axis=0) if len(both) else both
+
+
+def _across(p: np.ndarray, label: np.ndarray, often: np.ndarray, percent: int) -> np.ndarray:
     """Pairs of different classes in one long list, sorted by size. Only sets outside the list's largest class are
     taken up, each against the slice of sizes that it can reach."""
     n, at, s = p["n"].astype(np.int64), p["p"].astype(np.int64), p["s"]
@@ -252,6 +256,17 @@ def _across(p: np.ndarray, label: np.ndarray, percent: int) -> np.ndarray:
     return np.unique(both, axis=0) if len(both) else both
 
 
+def _of_list(step, percent: int):
+    def pairs_of(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("n", "ascending"), ("s", "ascending")])
+        rows = np.empty(len(t), POSTING)
+        for c in ("s", "n", "p"):
+            rows[c] = t.column(c).to_numpy()
+        return _pair_table(step(rows, t.column("label").to_numpy(), t.column("long").to_numpy(), percent))
+
+    return pairs_of
+
+
 def _pair_table(pairs: np.ndarray) -> pa.Table:
     return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
 
@@ -262,13 +277,14 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
     def test(batches):
         for batch in batches:
             ok = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
-                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+            for x, y in zip(batch.column("x"), batch.column("y")):
+                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
                 if len(x) > len(y):
                     x, y = y, x
                 shared = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
                 ok.append(100 * shared >= percent * (len(x) + len(y) - shared))
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+        give_back()
 
     left = pairs.join(sets.select(F.col("s").alias("b"), F.col("blob").alias("y")), "b")
     both = left.join(sets.select(F.col("s").alias("a"), F.col("blob").alias("x")), "a")
@@ -366,6 +382,7 @@ def _components(df: DataFrame, key: str, text: str, percent: int, big: int) -> D
 
     def candidates(t: pa.Table) -> pa.Table:
         pairs, long = _candidates(_joined(t, POSTING), percent, big)
+        give_back()
         names = ("a", "b", "na", "nb", "met")
         out = pa.table({k: pa.array(np.ascontiguousarray(pairs[:, i]), pa.int64()) for i, k in enumerate(names)})
         for k in ("t", "p"):
@@ -397,24 +414,19 @@ def _components(df: DataFrame, key: str, text: str, percent: int, big: int) -> D
 
     wanted = owners.join(needed, "s").select(F.col("owner").alias("k"))
     sets = written(docs.join(wanted, "k", "left_semi").select("text").mapInArrow(blobs, "s bigint, blob binary"), "sets")
-    with small_batches(spark, 200):
+    with small_batches(spark, 100):
         linked = written(verified(pairs, sets, percent), "links")
     if not long.isEmpty():
-        known = classes(linked)
-        long = long.select(F.col("a").alias("node"), "t", F.col("na").alias("n"), "p").join(known, "node", "left").select("t", F.col("node").alias("s"), "n", "p", F.coalesce("root", "node").alias("label"))
-        mixed = long.groupBy("t").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("t")
-        long = long.join(mixed, "t")  # lists within one class have no more to tell
-
-        def across(t: pa.Table) -> pa.Table:
-            t = t.sort_by([("n", "ascending"), ("s", "ascending")])
-            rows = np.empty(len(t), POSTING)
-            for c in ("s", "n", "p"):
-                rows[c] = t.column(c).to_numpy()
-            return _pair_table(_across(rows, t.column("label").to_numpy(), percent))
-
-        more = long.groupBy("t").applyInArrow(across, "a bigint, b bigint").distinct()
-        with small_batches(spark, 200):
-            linked = linked.unionByName(written(verified(more, sets, percent), "links"))
+        lists = long.select(F.col("a").alias("node"), "t", F.col("na").alias("n"), "p").join(slack.withColumnRenamed("a", "node"), "node")
+        for step in (_led, _led, _across):
+            known = classes(linked)
+            labelled = lists.join(known, "node", "left").select("t", F.col("node").alias("s"), "n", "p", "long", F.coalesce("root", "node").alias("label"))
+            mixed = labelled.groupBy("t").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("t")
+
+            # lists within one class have no more to tell
+            more = labelled.join(mixed, "t").groupBy("t").applyInArrow(_of_list(step, percent), "a bigint, b bigint").distinct()
+            with small_batches(spark, 100):
+                linked = linked.unionByName(written(verified(more, sets, percent), "links"))
     roots = classes(linked)
     named = owners.join(roots.withColumnRenamed("node", "s"), "s", "left").select("s", "owner", F.coalesce("root", "s").alias("root"))
     least = named.groupBy("root").agg(F.min("owner").alias("least"))
