@@ -15,6 +15,7 @@ Bounds: document frequencies count every document; the SVD, an index, is fitted
 from __future__ import annotations
 
 import re
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ class Settings:
     candidate. exact, similar: shares of an item's words. min_words: shorter items must occur word for word.
     max_df: words in a larger share of the documents are not terms, but for the `rarest` of each item."""
 
-    def __init__(self, segment: int = 16, span: int = 3, rank: int = 256, cosine: float = 0.35, max_df: float = 0.05, rarest: int = 8, exact: float = 0.75, similar: float = 0.55, min_words: int = 8, max_items: int = 200_000, fit_rows: int = 2000, seed: int = 1):
+    def __init__(self, segment: int = 16, span: int = 3, rank: int = 256, cosine: float = 0.35, max_df: float = 0.01, rarest: int = 8, exact: float = 0.75, similar: float = 0.55, min_words: int = 8, max_items: int = 200_000, fit_rows: int = 2000, seed: int = 1):
         self.segment, self.span, self.rank, self.cosine, self.exact, self.similar = segment, span, rank, cosine, exact, similar
         self.max_df, self.rarest = max_df, rarest
         self.min_words, self.max_items, self.fit_rows, self.seed = min_words, max_items, fit_rows, seed
@@ -77,7 +78,8 @@ class Index:
                 rows.append(self.weighted[ids].sum(axis=0))
                 self.item_of.append(k)
         r = np.array(rows, np.float32).reshape(len(rows), vectors.shape[1])
-        self.single = any(len({w for w in words if w in vocabulary}) < 2 for _, words, _, _ in items)
+        # a passage needs three terms to be looked at, fewer if an item has under six
+        self.least_terms = min([3, *(max(1, len({w for w in words if w in vocabulary}) // 2) for _, words, _, _ in items)])
         self.rows = r / np.maximum(np.linalg.norm(r, axis=1, keepdims=True), 1e-12)
 
     def __reduce__(self):
@@ -94,35 +96,43 @@ class Index:
         if not total:
             return found
         offset = np.concatenate([[0], np.cumsum(segments)])
-        latent = np.zeros((total, self.weighted.shape[1]), np.float32)
         ids, where = [], []
         for k, w in enumerate(words):
             if w:
-                i = np.fromiter((get(x, -1) for x in w), np.int32, len(w))
-                ids.append(i)
-                where.append(offset[k] + np.arange(len(w)) // s.segment)
+                i = np.fromiter(map(get, w, repeat(-1)), np.int32, len(w))
+                at = np.flatnonzero(i >= 0)
+                ids.append(i[at])
+                where.append(offset[k] + at // s.segment)
         ids, where = np.concatenate(ids), np.concatenate(where)
-        ids, where = ids[ids >= 0], where[ids >= 0]
         if not len(ids):
             return found
+        doc_of = np.repeat(np.arange(len(words)), segments)
+        terms = np.bincount(where, minlength=total)
+        held = terms.copy()
+        for k in range(1, s.span):  # a passage ends with its document
+            held[:-k] += np.where(doc_of[k:] == doc_of[:-k], terms[k:], 0)
+        # vectors are made for the passages with enough terms, from the vectors of their segments
+        rows = np.flatnonzero(held >= self.least_terms)
+        if not len(rows):
+            return found
+        parts = rows[:, None] + np.arange(s.span)
+        inside = (parts < total) & (doc_of[np.minimum(parts, total - 1)] == doc_of[rows][:, None])
+        need = np.zeros(total, bool)
+        need[parts[inside]] = True
+        place = np.cumsum(need) - 1
+        keep = need[where]
+        ids, where = ids[keep], place[where[keep]]
+        latent = np.zeros((int(need.sum()) + 1, self.weighted.shape[1]), np.float32)
         edge = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]]))
         for a in range(0, len(edge), 4096):  # bounded pieces of the gathered vectors
             e = edge[a : a + 4096]
             stop = edge[a + 4096] if a + 4096 < len(edge) else len(ids)
             latent[where[e]] = np.add.reduceat(self.weighted[ids[e[0] : stop]], e - e[0], axis=0)
-        doc_of = np.repeat(np.arange(len(words)), segments)
-        terms = np.bincount(where, minlength=total)
-        passage, held = latent.copy(), terms.copy()
-        for k in range(1, s.span):  # a passage ends with its document
-            same = doc_of[k:] == doc_of[:-k]
-            passage[:-k] += np.where(same[:, None], latent[k:], 0)
-            held[:-k] += np.where(same, terms[k:], 0)
+        parts = np.where(inside, place[np.minimum(parts, total - 1)], len(latent) - 1)
         best: dict[tuple[int, int], tuple[float, int, int]] = {}
-        # a single term is evidence only for items that have no other
-        rows = np.flatnonzero(held >= (1 if self.single else 2))
         for a in range(0, len(rows), 4096):
             at = rows[a : a + 4096]
-            x = passage[at]
+            x = latent[parts[a : a + 4096]].sum(axis=1)
             like = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)) @ self.rows.T
             for q, c in zip(*np.nonzero(like >= s.cosine)):
                 p = int(at[q])
