@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._io import without, written
+from ._io import give_back, without, written
 
 WORD = re.compile(r"\w+")
 
@@ -304,5 +304,6 @@ def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", settings: Se
                 for row, *_ in shared.value.search(column.slice(start, 200).to_pylist()):
                     n[start + row] += 1
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n)], names=[*batch.schema.names, "n_items"])
+        give_back()
 
     return base.mapInArrow(each, T.StructType([*base.schema.fields, T.StructField("n_items", T.LongType())]))

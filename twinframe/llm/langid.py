@@ -21,12 +21,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from ._io import held_out, train_rows, without
+from ._io import give_back, held_out, train_rows, without
 
 LETTERS = re.compile(r"[^\W\d_]+")
 LONGEST_WORD = 64  # longer runs of letters are cut into words of this length; cuts of a text never cross words
 FLOOR, UNKNOWN = 0.1, 1e-9  # pseudo-count of every piece; probability of a letter that is no piece
-CACHE = 300_000
+CACHE = 200_000
 
 
 def default_vocabulary() -> str:
@@ -105,7 +105,7 @@ def by_length(words: list[str]):
 class Model:
     def __init__(self, languages: list[str], vocabulary: list[str], probability: np.ndarray):
         self.languages, self.vocabulary, self.p = languages, vocabulary, probability
-        self.lattice = Lattice(vocabulary)
+        self.lattice = Lattice(vocabulary) if vocabulary else None
         self.cache: dict[str, int] = {}
         self.rows = np.zeros((0, len(languages)))
 
@@ -116,8 +116,8 @@ class Model:
         """log probability of each word (all cuts summed) for each language."""
         out = np.zeros((len(words), len(self.languages)))
         for rows, codes in by_length(words):
-            for k in range(0, len(rows), 20_000):
-                out[rows[k : k + 20_000]] = self._forward(codes[k : k + 20_000])
+            for k in range(0, len(rows), 5_000):
+                out[rows[k : k + 5_000]] = self._forward(codes[k : k + 5_000])
         return out
 
     def _forward(self, codes: np.ndarray) -> np.ndarray:
@@ -147,7 +147,7 @@ class Model:
     def scores(self, texts: list[list[str]]) -> np.ndarray:
         """Sum of the words' scores for each text."""
         if len(self.cache) > CACHE:
-            self.cache, self.rows = {}, np.zeros((0, len(self.languages)))
+            self.forget()
         flat = [w for t in texts for w in t]
         fresh = list({w for w in flat if w not in self.cache}) if flat else []
         if fresh:
@@ -159,6 +159,10 @@ class Model:
         ends = np.cumsum([len(t) for t in texts])
         return sums[ends] - sums[np.concatenate([[0], ends[:-1]]).astype(np.int64)]
 
+    def forget(self) -> None:
+        """Drops the words' kept scores; an idle worker should not hold them."""
+        self.cache, self.rows = {}, np.zeros((0, len(self.languages)))
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         words = [words_of(t) for t in texts]
         if not self.languages:
@@ -266,6 +270,8 @@ def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 scores.append(b)
                 start += len(part)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(np.concatenate(scores) if scores else [], pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
+        shared.value.forget()
+        give_back()
 
     return base.mapInArrow(each, T.StructType([*base.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._io import without, written
+from ._io import give_back, without, written
 
 MARK = "▁"  # stands for a blank
 CHUNK, BLOCK = 65536, 256  # characters of a chunk; chunks of a block
@@ -263,16 +263,16 @@ def _encode_small(base: DataFrame, text: str, data: bytes) -> DataFrame:
     def each(batches):
         sp = _coder(data).sp
         for batch in batches:
-            texts = batch.column(batch.schema.names.index(text)).to_pylist()
-            flat, sizes = [np.zeros(0, "i4")], np.zeros(len(texts), "i4")
-            for start, end in _slices([len(t or "") for t in texts], 1 << 20):
-                for k, ids in zip(range(start, end), sp.encode([t or "" for t in texts[start:end]], num_threads=1)):
-                    flat.append(np.asarray(ids, "i4"))
-                    sizes[k] = len(ids)
-            missing = pa.array([t is None for t in texts])
-            packed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype("i4")), pa.array(np.concatenate(flat)), mask=missing)
-            n_ids = pa.array(sizes.astype("i8"), mask=np.array([t is None for t in texts], bool))
-            yield pa.RecordBatch.from_arrays([*batch.columns, packed, n_ids, pa.array([int(t is not None) for t in texts], pa.int32())], names=[*batch.schema.names, "ids", "n_ids", "n_chunks"])
+            column = batch.column(batch.schema.names.index(text))
+            # a slice at a time goes back, so that a worker never holds the ids of a whole batch
+            for start, end in _slices(pc.fill_null(pc.binary_length(column), 0).to_pylist(), 1 << 20):
+                texts = column.slice(start, end - start).to_pylist()
+                lists = [np.asarray(x, "i4") for x in sp.encode([t or "" for t in texts], num_threads=1)]
+                sizes = np.array([len(x) for x in lists], "i8")
+                missing = np.array([t is None for t in texts], bool)
+                packed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype("i4")), pa.array(np.concatenate(lists)), mask=pa.array(missing))
+                yield pa.RecordBatch.from_arrays([*batch.slice(start, end - start).columns, packed, pa.array(sizes, mask=missing), pa.array((~missing).astype("i4"))], names=[*batch.schema.names, "ids", "n_ids", "n_chunks"])
+        give_back()
 
     return base.mapInArrow(each, schema)
 
@@ -355,10 +355,11 @@ def decode(df: DataFrame, ids: str = "ids", to: str = "decoded", model: str | No
     def each(batches):
         sp = _coder(data).sp
         for batch in batches:
-            column, texts = batch.column(batch.schema.names.index(ids)), []
-            for start, end in _slices(pc.fill_null(pc.list_value_length(column), 0).to_pylist(), 1 << 19):
-                texts += [None if x is None else sp.decode(x) if x else "" for x in column.slice(start, end - start).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, to])
+            column = batch.column(batch.schema.names.index(ids))
+            for start, end in _slices(pc.fill_null(pc.list_value_length(column), 0).to_pylist(), 1 << 18):
+                texts = [None if x is None else sp.decode(x) if x else "" for x in column.slice(start, end - start).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*batch.slice(start, end - start).columns, pa.array(texts, pa.string())], names=[*batch.schema.names, to])
+        give_back()
 
     return base.mapInArrow(each, T.StructType([*base.schema.fields, T.StructField(to, T.StringType())]))
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._io import held_out, train_rows, without
+from ._io import give_back, held_out, train_rows, without
 
 # Letters of other scripts that look like Latin ones, in pairs.
 LOOKALIKES = "аaеeоoрpсcхxуyкkмmнhтtвbіiјjѕsԁdԛqԝwһhӏlαaβbεeικκkνvοoρpτtυuχxηnωwıiɡgɑa"
@@ -217,6 +217,7 @@ def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 found += [m.measure(t) for t in column.slice(start, 500).to_pylist()]
             scores = [m.score(*x) for x in found]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64()), pa.array([int(s >= 0.7) for s in scores], pa.int32()), pa.array([x[1] for x in found], pa.int64())], names=[*batch.schema.names, "score", "predicted", "n_words"])
+        give_back()
 
     extra = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("n_words", T.LongType())]
     return base.mapInArrow(each, T.StructType([*base.schema.fields, *extra]))
