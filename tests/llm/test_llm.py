@@ -194,6 +194,12 @@ def test_join_against_brute_force(spark):
     for big in (dedup.BIG, 2):
         assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in dedup.components(df, big=big).collect()} == want
     assert dedup.components(df.limit(0)).count() == 0
+    # rows that repeat a key, rows without one (a link between two others may lead over them), other columns
+    base = [f"w{i}" for i in range(60)]
+    one, two = base[:50] + ["x"] * 2 + base[52:], base[:48] + ["x"] * 4 + base[52:]
+    rows = [(5, " ".join(base), "p", 1), (None, " ".join(one), None, 2), (9, " ".join(two), "q", 3), (5, " ".join(base), "p", 4), (None, None, "r", 5), (None, "alone here", "r", 6)]
+    got = dedup.components(spark.createDataFrame(rows, "doc_id bigint, text string, r0 string, n_shingles int")).collect()
+    assert sorted((r["doc_id"] or 0, r["r0"] or "", r["component_id"] or 0) for r in got) == [(0, "", 5), (0, "r", 0), (0, "r", 0), (5, "p", 5), (5, "p", 5), (9, "q", 5)]
     long = "x " * 900000
     assert [len(s) for s in dedup.shingle_sets([long, "y", long])] == [1, 1, 1]
 

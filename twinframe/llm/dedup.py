@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._io import discard, give_back, small_batches, without, written
 
@@ -335,12 +336,12 @@ def classes(links: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 
 def components(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, big: int = BIG) -> DataFrame:
-    """`df` without its text column, with n_shingles (size of the set) and component_id.
+    """`df` without its text column, one row for each of its rows, with n_shingles (size of the set) and component_id.
 
     component_id is the smallest key reachable by links, the row's own included. Texts with fewer than five words
     have their whole sequence as one shingle; null texts and those without words have none and are linked with
-    nothing. Keys are bigint; rows that repeat a key are rows of their own, and a null key is never the smallest unless
-    its class has no other. Columns of these names are replaced. An empty table gives an empty result.
+    nothing. Keys are bigint; rows that repeat a key are rows of their own. A row without a key is linked like any other,
+    and a class in which no row has a key has a null component_id. Columns of these names are replaced. An empty table gives an empty result.
     """
     if not 50 < percent <= 100:
         raise ValueError("percent must be over 50, and 100 at most")
@@ -351,15 +352,21 @@ def components(df: DataFrame, key: str = "doc_id", text: str = "text", percent:
 def _components(df: DataFrame, key: str, text: str, percent: int, big: int) -> DataFrame:
     spark = df.sparkSession
     docs = df.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("text"))
+    rest = without(df, key, text, "n_shingles", "component_id")
     parts = _parts(docs)
     hot, rank = _hot(docs, "text", parts)
     order = spark.sparkContext.broadcast((hot, rank))  # HOT_TOKENS entries at most
 
     def sized(batches):
         for batch, sets in _texts(batches, "text"):
-            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array([signature(h) if len(h) else None for h in sets], pa.int64()), pa.array([len(h) for h in sets], pa.int64())], names=["k", "s", "n"])
-
-    members = written(docs.mapInArrow(sized, "k bigint, s bigint, n bigint"), "members")
+            found = pa.array([signature(h) if len(h) else None for h in sets], pa.int64()), pa.array([len(h) for h in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("k"), *found, *batch.columns[2:]], names=["k", "s", "n", *batch.schema.names[2:]])
+
+    # the other columns go along with the rows' sizes, so that no join by key is needed to bring them back
+    whole = df.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("text"), *[F.col(c).alias(f"r{i}") for i, c in enumerate(rest)])
+    number = T.LongType()
+    schema = T.StructType([T.StructField("k", number), T.StructField("s", number), T.StructField("n", number), *whole.schema.fields[2:]])
+    members = written(whole.mapInArrow(sized, schema), "members")
     owners = members.where("s is not null").groupBy("s").agg(F.min("k").alias("owner"))
 
     def postings(batches):
@@ -412,8 +419,8 @@ def _components(df: DataFrame, key: str, text: str, percent: int, big: int) -> D
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["s", "blob"])
 
-    wanted = owners.join(needed, "s").select(F.col("owner").alias("k"))
-    sets = written(docs.join(wanted, "k", "left_semi").select("text").mapInArrow(blobs, "s bigint, blob binary"), "sets")
+    wanted = owners.join(needed, "s").select("owner")
+    sets = written(docs.join(wanted, F.col("k").eqNullSafe(F.col("owner")), "left_semi").select("text").mapInArrow(blobs, "s bigint, blob binary"), "sets")
     with small_batches(spark, 100):
         linked = written(verified(pairs, sets, percent), "links")
     if not long.isEmpty():
@@ -431,9 +438,9 @@ def _components(df: DataFrame, key: str, text: str, percent: int, big: int) -> D
     named = owners.join(roots.withColumnRenamed("node", "s"), "s", "left").select("s", "owner", F.coalesce("root", "s").alias("root"))
     least = named.groupBy("root").agg(F.min("owner").alias("least"))
     of = named.join(least, "root").select("s", "least")
-    rows = members.join(of, "s", "left").select(F.col("k").alias(key), F.col("n").alias("n_shingles"), F.coalesce("least", "k").alias("component_id"))
-    rest = without(df, key, text, "n_shingles", "component_id")
-    return rows if not rest else df.select(key, *rest).join(rows, key)
+    back = [F.col(f"r{i}").alias(c) for i, c in enumerate(rest)]
+    return members.join(of, "s", "left").select(F.col("k").alias(key), *back, F.col("n").alias("n_shingles"), F.coalesce("least", "k").alias("component_id"))
+
 
 
 ORACLE = r"""

@@ -85,16 +85,14 @@ class Model:
         if not words or not len(self.automaton):
             return 0.0
         hits: dict[int, float] = {}
-        spared: list[tuple[int, int]] = []
+        spared: set[int] = set()
         for end, (length, weight) in self.automaton.iter(f" {' '.join(words)} "):
             start = end - length + 1
             if weight is None:
-                spared.append((start, end))
+                spared.update(range(start, end))
             elif weight > hits.get(start, 0.0):
                 hits[start] = weight
-        if spared:
-            hits = {s: w for s, w in hits.items() if not any(a <= s < b for a, b in spared)}
-        return sum(hits.values())
+        return sum(w for s, w in hits.items() if s not in spared)
 
     def measure(self, text: str | None) -> tuple[float, int]:
         words = words_of(text)
