@@ -76,6 +76,14 @@ def small_batches(spark: SparkSession, rows: int = 500):
         spark.conf.set(name, before)
 
 
+def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Lowers the session's Arrow batches to `rows` rows, for jobs over whole texts: the JVM holds a batch outside its
+    heap, the worker another, and the size is read only when a job runs. A lower setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def give_back() -> None:
     """Returns freed memory of a Python worker to the system; workers stay alive between tasks."""
     import ctypes

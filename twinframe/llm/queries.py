@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import dedup, decontaminate, langid, licenses, quality, sentencepieces, sharding, toxicity, urls, warc
-from ._io import table
+from ._io import bound_batches, table
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
 
@@ -16,6 +16,7 @@ SHARDS = [f"shard-{i:03d}" for i in range(64)]
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded, and decoded again: number of ids and chunks, a digest of the ids, and whether the
     round trip gives the text back."""
+    bound_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = sentencepieces.encode(docs, "doc_id", "text")
     return sentencepieces.summary(coded, "doc_id", "text")
