@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 from ._io import give_back, without, written
 
 WORD = re.compile(r"\w+")
+PIECE = 1024  # segments, or passages, whose vectors a worker holds at once
 
 
 class Settings:
@@ -124,15 +125,15 @@ class Index:
         ids, where = ids[keep], place[where[keep]]
         latent = np.zeros((int(need.sum()) + 1, self.weighted.shape[1]), np.float32)
         edge = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]]))
-        for a in range(0, len(edge), 4096):  # bounded pieces of the gathered vectors
-            e = edge[a : a + 4096]
-            stop = edge[a + 4096] if a + 4096 < len(edge) else len(ids)
+        for a in range(0, len(edge), PIECE):  # bounded pieces of the gathered vectors
+            e = edge[a : a + PIECE]
+            stop = edge[a + PIECE] if a + PIECE < len(edge) else len(ids)
             latent[where[e]] = np.add.reduceat(self.weighted[ids[e[0] : stop]], e - e[0], axis=0)
         parts = np.where(inside, place[np.minimum(parts, total - 1)], len(latent) - 1)
         best: dict[tuple[int, int], tuple[float, int, int]] = {}
-        for a in range(0, len(rows), 4096):
-            at = rows[a : a + 4096]
-            x = latent[parts[a : a + 4096]].sum(axis=1)
+        for a in range(0, len(rows), PIECE):
+            at = rows[a : a + PIECE]
+            x = latent[parts[a : a + PIECE]].sum(axis=1)
             like = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)) @ self.rows.T
             for q, c in zip(*np.nonzero(like >= s.cosine)):
                 p = int(at[q])
