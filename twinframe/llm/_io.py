@@ -85,7 +85,7 @@ def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
 
 
 def give_back() -> None:
-    """Returns freed memory of a Python worker to the system; workers stay alive between tasks."""
+    """Returns freed memory of a Python process to the system: workers stay alive between tasks, the driver between jobs."""
     import ctypes
 
     import pyarrow as pa

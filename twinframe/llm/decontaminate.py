@@ -208,6 +208,7 @@ def build(docs: DataFrame, benchmark: DataFrame, text: str = "text", settings: S
     vocabulary = {w: k for k, w in enumerate(sorted(terms))}
     idf = np.array([weight[w] for w in vocabulary])
     vectors = _svd(docs, text, items, vocabulary, idf, s, total)
+    give_back()
     keyed = []
     for item_id, own, answer in items:
         order = sorted(set(own), key=lambda w: (-weight[w], w))

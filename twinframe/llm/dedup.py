@@ -356,6 +356,7 @@ def _components(df: DataFrame, key: str, text: str, percent: int, big: int) -> D
     parts = _parts(docs)
     hot, rank = _hot(docs, "text", parts)
     order = spark.sparkContext.broadcast((hot, rank))  # HOT_TOKENS entries at most
+    give_back()
 
     def sized(batches):
         for batch, sets in _texts(batches, "text"):

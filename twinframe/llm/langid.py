@@ -245,7 +245,9 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", vocabulary: str
     counts: dict[str, dict[str, int]] = {}
     for r in words.withColumn("k", F.row_number().over(top)).where(F.col("k") <= train_words).collect():
         counts.setdefault(r["lang"], {})[r["word"]] = r["n"]
-    return fit(counts, pieces(vocabulary), rounds)
+    model = fit(counts, pieces(vocabulary), rounds)
+    give_back()
+    return model
 
 
 def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:

@@ -193,6 +193,8 @@ def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = 2500, except
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in m], pa.float64()), pa.array([x[1] for x in m], pa.int64()), batch.column("toxic")], names=["raw", "n", "toxic"])
 
     seen = [(r["raw"], r["n"], r["toxic"]) for r in some.mapInArrow(measure, "raw double, n bigint, toxic int").collect()]
+    del rows, counts
+    give_back()
     n1 = max(1, sum(label for _, _, label in seen))
     n0 = max(1, len(seen) - n1)
     return Model(entries, model.exceptions, fit_curve(seen, (sizes[0] / n0 / 10, sizes[1] / n1 / 10)) if seen else (0.0, 0.0, 0.0))
