@@ -50,6 +50,17 @@ def test_pieces_equal_the_library_and_come_back(spark, docs, odd):
     assert got[1]["n_ids"] is None and got[2]["n_ids"] == 0 and got[5]["n_chunks"] == 2 and all(r["round_trip"] for r in got.values())
 
 
+def test_long_texts_without_a_key_or_with_a_repeated_one(spark):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=sentencepieces.default_model())
+    a, b = "the end of the thing " * 4000, "another one " * 7000
+    rows = [(None, a, "p"), (None, b, None), (3, a, "q"), (3, b, "q"), (3, b, "q"), (None, "short", "r"), (4, a, "s")]
+    got = sentencepieces.encode(spark.createDataFrame(rows, "doc_id bigint, text string, __row string").repartition(3), "doc_id", "text").collect()
+    assert sorted(map(repr, rows)) == sorted(repr((r["doc_id"], r["text"], r["__row"])) for r in got)
+    assert all(r["ids"] == sp.encode(r["text"]) and r["n_ids"] == len(r["ids"]) and r["n_chunks"] == (1 if r["text"] == "short" else 2) for r in got)
+
+
 def test_warc(spark, tmp_path):
     rows = [(1, "http://a/\n", "same"), (2, None, "same"), (3, "http://b", None), (4, "http://b", ""), (5, "u", "é" * 10), (None, "u", "same")]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(2)

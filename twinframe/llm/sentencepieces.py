@@ -215,9 +215,9 @@ def _unpack(b: bytes) -> np.ndarray:
 
 
 def _chunks(df: DataFrame, key: str, text: str, chunk: int, margin: int) -> DataFrame:
-    """(key, n, no, lead, own, follow) of the texts over one chunk; text after the library's way of marking blanks."""
+    """(key, n, no, lead, part) of texts over one chunk; text after the library's way of marking blanks."""
     marked = F.concat(F.lit(MARK), F.replace(df[text], F.lit(" "), F.lit(MARK)))
-    d = df.where(F.length(df[text]) >= chunk).select(df[key].alias("key"), marked.alias("t"))
+    d = df.select(df[key].alias("key"), marked.alias("t"))
     d = d.withColumn("n", F.floor((F.length("t") + chunk - 1) / chunk).cast("int"))
     d = d.select("key", "t", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("no"))
     start = F.col("no") * chunk
@@ -228,9 +228,10 @@ def _chunks(df: DataFrame, key: str, text: str, chunk: int, margin: int) -> Data
 def encode(df: DataFrame, key: str, text: str, model: str | None = None, chunk_chars: int = CHUNK) -> DataFrame:
     """`df` with ids array<int>, n_ids bigint and n_chunks int.
 
-    `key` is unique. The ids are those of the library's own encoder. A null text has null ids (and no chunk), an empty
-    one an empty array. Columns of these names are replaced. Texts over one chunk are dealt out by chunk: no task
-    handles one as a whole before its ids are put together in its row.
+    Every row stays, whatever its `key`: keys may be null or repeat, as rows of long texts get a number of their own. The
+    ids are those of the library's own encoder. A null text has null ids (and no chunk), an empty one an empty array.
+    Columns of these names are replaced. Texts over one chunk are written with their row's number and dealt out by
+    chunk: no task handles one as a whole before its ids are put together in its row.
     """
     data = _model_bytes(model)
     margin = 2 * Coder(data).longest
@@ -240,7 +241,14 @@ def encode(df: DataFrame, key: str, text: str, model: str | None = None, chunk_c
     base = df.select(*[df[c] for c in keep])
     is_large = F.coalesce(F.length(base[text]) >= chunk_chars, F.lit(False))
     small = _encode_small(base.where(~is_large), text, data)
-    big = base.where(is_large).join(_encode_large(base, key, text, data, chunk_chars, margin), key)
+    row = "__row"
+    while row in {c.lower() for c in keep}:
+        row += "_"
+    # the numbers hold only once they are written: another run of the same plan may deal them out otherwise
+    storable = [c for c, kind in base.dtypes if kind != "void"]
+    large = written(base.where(is_large).select(*[base[c] for c in storable], F.monotonically_increasing_id().alias(row)), "sp-large")
+    big = large.join(_encode_large(large, row, text, data, chunk_chars, margin), row)
+    big = big.withColumns({c: F.lit(None) for c in keep if c not in storable})
     return small.unionByName(big.select(*small.columns))
 
 
