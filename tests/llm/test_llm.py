@@ -164,6 +164,75 @@ def test_licenses(spark, odd):
     assert tuple(licenses.scan(spark.createDataFrame([(text,)], "text string")).first()) == (text, 2, "MIT", "MIT")
 
 
+MIT = '''Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY.
+'''
+BSD = '''Copyright (c) 2020, Some Owner.
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE.
+'''
+GPL = '''    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+
+    You should have received a copy of the GNU General Public License
+    along with this program.  If not, see <https://www.gnu.org/licenses/>.
+'''
+APACHE = '''Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+'''
+
+
+def test_wrapped_licenses(spark):
+    want = {"MIT": (MIT, 2), "BSD": (BSD, 3), "GPL-3.0": (GPL, 5), "Apache-2.0": (APACHE, 4)}
+    ways = [lambda t: t, lambda t: t.replace("\n", "\r\n"), lambda t: "/*\n" + "".join(f" * {x}\n" for x in t.splitlines()) + " */", lambda t: "\n\n".join(" ".join(p.split()) for p in t.split("\n\n"))]
+    rows = [(f(t), n, k) for k, (t, n) in want.items() for f in ways]
+    # a line's end still ends a sentence; a blank line, or more words on a line, is no part of one
+    rows += [("My tool\nReleased under the MIT License\nby me", 1, "MIT"), ("Released under\nthe MIT License", 1, "MIT"), ("Released under\n\nthe MIT License", 0, None), ("It is not released under\nthe MIT License", 0, None), ("Released under the MIT License of\nsome", 0, None), ('Licensed under the Apache License, Version 2.0\n(the "License").', 1, "Apache-2.0")]
+    got = licenses.scan(spark.createDataFrame(rows, "text string, want_n int, want string")).collect()
+    assert [(r["license_sentences"], r["license"], r["licenses"]) for r in got] == [(r["want_n"], r["want"], r["want"] or "") for r in got]
+
+
 def _brute(texts):
     sets = {}
     for k, t in texts.items():

@@ -1,9 +1,12 @@
 """Licence scans by sentence rules.
 
-A text is cut into sentences, each is normalised (lower case, everything but a-z and 0-9 becomes one blank), and
-sentences that a licence is known by are replaced with their identifiers. A rule is a licence and an ordered sequence
-of identifiers; it matches where its sequence occurs with no other known sentence between. Rules stand in order: the
-first that matches names the text. All of it is built-in expressions over one row; no shuffle.
+A text is normalised (lower case, everything but a-z and 0-9 becomes one blank) and sentences that a licence is known
+by are replaced with their identifiers. Punctuation and blank lines end a sentence. A line's end may be one too, as in
+notices without punctuation, or stand for a blank, as in wrapped ones: a known sentence is found where it begins and
+ends at a sentence's or a line's end, over as many lines as it takes; of several that begin there the longest counts.
+A rule is a licence and an ordered sequence of identifiers; it matches where its sequence occurs with no other known
+sentence between. Rules stand in order: the first that matches names the text. All of it is built-in expressions over
+one row; no shuffle.
 """
 
 from __future__ import annotations
@@ -56,7 +59,25 @@ RULES = [
     ("MPL-2.0", ["mpl2"]),
 ]
 
-END = r"[.!?;:]+([ \t\r\n]+|$)|\n+"
+# Line ends stand for blanks, so a name before a line's end may be part of a longer sentence: that names the licence too.
+SCAN_SENTENCES = SENTENCES | {"apache2-named": 'Licensed under the Apache License, Version 2.0 (the "License").'}
+_AT = RULES.index(("Apache-2.0", ["apache2-you"])) + 1
+SCAN_RULES = [*RULES[:_AT], ("Apache-2.0", ["apache2-named"]), *RULES[_AT:]]
+
+# Sentences as the licences themselves have them, where SENTENCES has short forms. They count as those.
+WORDINGS = {
+    "apache2-obtain": ["You may obtain a copy of the License at: http://www.apache.org/licenses/LICENSE-2.0"],
+    "mit-permission": ['Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:'],
+    "mit-asis": ['THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.'],
+    "bsd-asis": [
+        f'THIS SOFTWARE IS PROVIDED BY THE {who} "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.'
+        for who in ("COPYRIGHT HOLDERS AND CONTRIBUTORS", "REGENTS AND CONTRIBUTORS", "AUTHOR AND CONTRIBUTORS")
+    ],
+}
+
+END = r"[.!?;:]+([ \t\r\n]+|$)|\n+"  # of listed sentences, and of the oracle's, whose texts have no wrapped ones
+HARD = r"[.!?;:]+([ \t\r\n]+|$)|\n[^a-z0-9\n]*\n"  # ends that no sentence goes over
+BLANK, APART = r"(?: \n? ?|\n ?)", r" ?\n[ \n]*"  # between words; between the parts of a sentence that has several
 
 
 def normal(sentence: str) -> str:
@@ -77,23 +98,38 @@ def _numbered(sentences: dict[str, str]) -> tuple[dict[str, int], dict[str, list
     return numbers, {k: [numbers.setdefault(p, len(numbers) + 1) for p in parts(v)] for k, v in sentences.items()}
 
 
-def _array_of(column: Column) -> Column:
-    """Normalised sentences. Letters outside A-Z are not folded: they become blanks either way."""
+def _wordings(sentences: dict[str, str], wordings: dict[str, list[str]]) -> tuple[dict[str, int], dict[str, list[int]], str]:
+    """Numbers of normal forms, numbers by identifier, and a pattern of all forms after a line's end, longest first."""
+    numbers, by_name = _numbered(sentences)
+    forms = {k: [k] for k in numbers}
+    for name in wordings.keys() & sentences.keys():
+        if len(by_name[name]) != 1:
+            raise ValueError(f"{name} has several parts: it can't have other wordings")
+        for w in wordings[name]:
+            numbers[" ".join(parts(w))] = by_name[name][0]
+            forms[" ".join(parts(w))] = parts(w)
+    longest = sorted(forms.values(), key=lambda x: -len(" ".join(x)))
+    return numbers, by_name, r"\n ?(" + "|".join(APART.join(p.replace(" ", BLANK) for p in x) for x in longest) + r")(?= ?\n)"
+
+
+def _found(column: Column, pattern: str) -> Column:
+    """Known sentences, normalised. Letters outside A-Z are not folded: they become blanks either way."""
     low = F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.split(F.regexp_replace(F.regexp_replace(low, END, "\n"), r"[^a-z0-9\n]+", " "), "\n")
+    flat = F.concat(F.lit("\n"), F.regexp_replace(F.regexp_replace(low, HARD, "\n\n"), r"[^a-z0-9\n]+", " "), F.lit("\n"))
+    return F.transform(F.regexp_extract_all(flat, F.lit(pattern), F.lit(1)), lambda s: F.regexp_replace(s, r"[ \n]+", " "))
 
 
-def scan(df: DataFrame, text: str = "text", sentences: dict[str, str] = SENTENCES, rules: list = RULES) -> DataFrame:
+def scan(df: DataFrame, text: str = "text", sentences: dict[str, str] = SCAN_SENTENCES, rules: list = SCAN_RULES, wordings: dict[str, list[str]] = WORDINGS) -> DataFrame:
     """Adds license_sentences (count of known sentences), license (of the first rule in order that matches, or null)
     and licenses (all licences matched, each once, in the rules' order, joined by commas; '' if none).
 
     A null or empty text has none. Very long texts take time and memory in proportion to their length. Columns of
     these names in `df` are replaced.
     """
-    numbers, by_name = _numbered(sentences)
+    numbers, by_name, pattern = _wordings(sentences, wordings)
     known = F.create_map(*[F.lit(x) for pair in numbers.items() for x in pair])
-    base = df.withColumn("__sentences", F.filter(_array_of(F.coalesce(df[text], F.lit(""))), lambda s: F.trim(s).isin(*numbers)))
-    base = base.withColumn("__ids", F.concat(F.lit(" "), F.array_join(F.transform("__sentences", lambda s: F.element_at(known, F.trim(s)).cast("string")), "  "), F.lit(" ")))
+    base = df.withColumn("__sentences", _found(F.coalesce(df[text], F.lit("")), pattern))
+    base = base.withColumn("__ids", F.concat(F.lit(" "), F.array_join(F.transform("__sentences", lambda s: F.element_at(known, s).cast("string")), "  "), F.lit(" ")))
     hits = [(name, F.col("__ids").contains("  ".join(f"{n}" for k in seq for n in by_name[k]).join("  "))) for name, seq in rules]
     found = F.array_distinct(F.filter(F.array(*[F.when(hit, F.lit(name)) for name, hit in hits]), lambda x: x.isNotNull()))
     has = F.size("__sentences") > 0
