@@ -130,6 +130,15 @@ def test_decontamination(spark, docs, odd):
     assert decontaminate.lcs(list("abcde"), list("xaxcxe"))[0] == 3
 
 
+def test_items_without_their_rarest_words_are_found(spark):
+    own = [f"t{j:02}" for j in range(40)]  # each is in some 3 % of the documents
+    texts = [" ".join([f"f{d}n{i}" for i in range(20)] + [w for j, w in enumerate(own) if (d * 7 + j * 13) % 33 == 0]) for d in range(200)]
+    changed = " ".join(["filler"] * 20 + ["other"] * 8 + own[8:] + ["filler"] * 20)  # equally rare: the first in order count as the rarest
+    docs = spark.createDataFrame(list(enumerate([*texts, changed])), "doc_id bigint, text string")
+    got = decontaminate.matches(docs, spark.createDataFrame([(1, " ".join(own))], "item_id bigint, text string"))
+    assert [(r["doc_id"], r["item_id"]) for r in got.collect()] == [(200, 1)]
+
+
 def test_quality(spark, odd):
     got = {r["doc_id"]: r for r in quality.judge(odd).collect()}
     assert (got[1]["n_words"], got[1]["base_failed"], got[1]["kept"]) == (0, True, False) and got[7]["n_repeat_words"] == 20000

@@ -34,7 +34,7 @@ class Settings:
     candidate. exact, similar: shares of an item's words. min_words: shorter items must occur word for word.
     max_df: words in a larger share of the documents are not terms, but for the `rarest` of each item."""
 
-    def __init__(self, segment: int = 16, span: int = 3, rank: int = 256, cosine: float = 0.35, max_df: float = 0.01, rarest: int = 8, exact: float = 0.75, similar: float = 0.55, min_words: int = 8, max_items: int = 200_000, fit_rows: int = 2000, seed: int = 1):
+    def __init__(self, segment: int = 16, span: int = 3, rank: int = 256, cosine: float = 0.35, max_df: float = 0.05, rarest: int = 8, exact: float = 0.75, similar: float = 0.55, min_words: int = 8, max_items: int = 200_000, fit_rows: int = 2000, seed: int = 1):
         self.segment, self.span, self.rank, self.cosine, self.exact, self.similar = segment, span, rank, cosine, exact, similar
         self.max_df, self.rarest = max_df, rarest
         self.min_words, self.max_items, self.fit_rows, self.seed = min_words, max_items, fit_rows, seed
@@ -79,8 +79,8 @@ class Index:
                 rows.append(self.weighted[ids].sum(axis=0))
                 self.item_of.append(k)
         r = np.array(rows, np.float32).reshape(len(rows), vectors.shape[1])
-        # a passage needs three terms to be looked at, fewer if an item has under six
-        self.least_terms = min([3, *(max(1, len({w for w in words if w in vocabulary}) // 2) for _, words, _, _ in items)])
+        # a single term is evidence only for items that have no other
+        self.least_terms = 1 if any(len({w for w in words if w in vocabulary}) < 2 for _, words, _, _ in items) else 2
         self.rows = r / np.maximum(np.linalg.norm(r, axis=1, keepdims=True), 1e-12)
 
     def __reduce__(self):
