@@ -280,8 +280,7 @@ def test_join_against_brute_force(spark):
     texts |= {k: None, k + 1: "", k + 2: " \n", k + 3: "one two", k + 4: "ONE  two", k + 5: "é" * 10}
     df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(3)
     want = _brute(texts)
-    for big in (dedup.BIG, 2):
-        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in dedup.components(df, big=big).collect()} == want
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in dedup.components(df).collect()} == want
     assert dedup.components(df.limit(0)).count() == 0
     # rows that repeat a key, rows without one (a link between two others may lead over them), other columns
     base = [f"w{i}" for i in range(60)]
@@ -293,6 +292,39 @@ def test_join_against_brute_force(spark):
     assert [len(s) for s in dedup.shingle_sets([long, "y", long])] == [1, 1, 1]
 
 
+def test_join_of_groups_around_the_threshold(spark):
+    """Copies that change so much that some pairs of a group are links and some are not, chains, and words of any length."""
+    rnd = random.Random(11)
+    texts, k = {}, 0
+    for _ in range(5):
+        base = [f"b{rnd.randrange(10**6)}" for _ in range(rnd.randint(60, 120))]
+        for _ in range(24):
+            copy = list(base)
+            for _ in range(rnd.randint(0, 4)):
+                copy[rnd.randrange(len(copy))] = f"c{rnd.randrange(10**6)}"
+            cut = rnd.randint(0, 12)
+            texts[k] = " ".join(copy[cut:] if rnd.random() < 0.5 else copy[: len(copy) - cut])
+            k += 1
+    chain = [f"d{i}" for i in range(100)]
+    for step in range(0, 60, 3):
+        texts[k] = " ".join([f"e{i}" for i in range(step)] + chain[step:])
+        k += 1
+    texts |= {k: "a" * 4096 + "b" * 4096, k + 1: "b" * 4096 + "a" * 4096, k + 2: "a" * 4096 + "B" * 4096, k + 3: "x" * 65, k + 4: "x" * 64 + "y"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(3)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in dedup.components(df).collect()} == _brute(texts)
+
+
+def test_classes(spark):
+    rnd = random.Random(5)
+    links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [tuple(rnd.sample(range(200, 260), 2)) for _ in range(25)] + [(7, 7)]
+    parent = {x: x for e in links for x in e}
+    for _ in parent:
+        for a, b in links:
+            parent[a] = parent[b] = min(parent[a], parent[b])
+    got = {r["node"]: r["root"] for r in dedup.classes(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
+    assert got == {x: r for x, r in parent.items() if x != r}
+
+
 def test_pipeline(spark, docs):
     import corpus_pipeline
 

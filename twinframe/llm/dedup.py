@@ -1,41 +1,56 @@
 """N-gram Jaccard self-join with set-relation skipping: which texts share 5-word shingles at a similarity of 0.8.
 
 A text's set is that of its distinct 5-word shingles, each as a 64-bit hash. Texts with equal sets are one set from
-the start. Two sets can only reach the similarity if they share a token among the first few (a fifth) of either in
-one global order, and then the first shared token lies far enough ahead; so
+the start. Two sets can only reach the similarity if they share a token among the first (a fifth) of either in one
+global order, and then the first shared token lies far enough ahead; so
 
 1. tokens that many texts hold are estimated on a sample and put last in the order (which order is taken cannot
    change the result, only the work);
-2. each set's first tokens go into index lists, with the set's size and the token's position. A list is sorted by
-   size; going along it, blocks of partners are skipped once sizes differ too much, and partners whose position
-   leaves too few tokens behind it are skipped one by one;
-3. pairs from short lists are verified on the whole sets. In lists of over `big` sets only pairs with a list's
-   leaders are verified at first. What is highly similar to a leader has the leader's answers: it joins the leader's
-   class, and only pairs of sets from different classes are then taken from the long lists and verified;
-4. classes of verified links are found by star contraction, over tables in the shared folder.
+2. each set's first tokens go into index lists, with the set's size and the token's position. Lists of one set go. A
+   list is cut into blocks by size; blocks whose sizes differ too much are skipped, and partners whose positions leave
+   too few tokens behind them are skipped too;
+3. in each block one set leads (that with the most frequent tokens, the same in most lists of a group of near copies),
+   and only it is compared with the others of its block: as many pairs as entries, whatever a list's length. Sets that
+   link with a leader take its class, lists that lie within one class are skipped, and the others of frequent tokens
+   get new leaders, LEADERS times or until no new link is found;
+4. what a leader's comparison has told is carried over to the sets highly similar to it. If x has all but d(x) of its
+   tokens in common with its leader a, and y all but d(y) with b, x and y share no more than |a & b| + d(x) + d(y). So
+   the lists are joined class by class, heads are compared with heads, and single members only where that bound,
+   counted on their first tokens too, leaves the similarity possible. A bitmap of each set (the parity of its tokens
+   by hash) gives another bound, on the tokens that only one of two sets has;
+5. classes of verified links are found by star contraction, over tables in the shared folder.
 
 No list is cut, no partner dropped. A link inside a class may stay unverified, as it can't change a class.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
+import re
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._io import discard, give_back, small_batches, without, written
 
 WORDS, PERCENT = 5, 80
-BIG, HOT_TOKENS, HOT_SAMPLE = 128, 200_000, 16
-POSTING = np.dtype([("t", "<u8"), ("s", "<i8"), ("n", "<u4"), ("p", "<u4")])
+HOT_TOKENS, HOT_SAMPLE = 1_000_000, 16
+LEADERS = 3  # times that long lists get leaders before their classes are joined; shapes the work, not the result
+BITMAP = 16  # 64-bit words of a set's bitmap
+STREAM = 256  # partners of a leader that one group of rows brings to it
+POSTING = np.dtype([("t", "<u8"), ("s", "<i8"), ("n", "<u4"), ("p", "<u4"), ("w", "<u4")])
 
 _WHITE = np.zeros(256, bool)
 _WHITE[[32, 9, 10, 11, 12, 13]] = True
 _K = np.uint64(0x9E3779B97F4A7C15)
 _BYTE = (np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) ^ (np.arange(1, 257, dtype=np.uint64) * _K >> np.uint64(31))
-_POWER = np.cumprod(np.full(4096, np.uint64(0xA0761D6478BD642F)), dtype=np.uint64)
+_LONG = 64  # bytes; a longer word's hash is a digest
+_POWER = np.cumprod(np.full(_LONG, np.uint64(0xA0761D6478BD642F)), dtype=np.uint64)
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
 _BLOCK = 1 << 20
 
 
@@ -57,9 +72,13 @@ def _words(buffer: bytes) -> tuple[np.ndarray, np.ndarray]:
         return starts, np.zeros(0, np.uint64)
     at = np.arange(len(raw))
     inside = at - np.maximum.accumulate(np.where(first, at, 0))
-    value = _BYTE[raw] * _POWER[inside & 4095] + inside.astype(np.uint64)
+    value = _BYTE[raw] * _POWER[inside & (_LONG - 1)] + inside.astype(np.uint64)
     value[white] = 0
-    return starts, _mix(np.add.reduceat(value, starts))
+    hashes = _mix(np.add.reduceat(value, starts))
+    ends = np.flatnonzero(white & ~before)
+    for k in np.flatnonzero(ends - starts > _LONG):
+        hashes[k] = int.from_bytes(hashlib.blake2b(buffer[starts[k] : ends[k]], digest_size=8).digest(), "little")
+    return starts, hashes
 
 
 def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray]:
@@ -85,9 +104,8 @@ def _long(raw: bytes) -> np.ndarray:
     """Word hashes of one very long text, block by block, cut at white space."""
     out, start = [], 0
     while start < len(raw):
-        end = min(len(raw), start + _BLOCK)
-        while end < len(raw) and not _WHITE[raw[end]]:
-            end += 1
+        gap = _GAP.search(raw, min(len(raw), start + _BLOCK))
+        end = gap.start() if gap else len(raw)
         out.append(_words(raw[start:end] + b" ")[1])
         start = end
     return np.concatenate(out)
@@ -114,16 +132,25 @@ def least_overlap(n, m, percent: int = PERCENT):
     return -(-percent * (n + m) // (100 + percent))
 
 
-def prefix(h: np.ndarray, hot: np.ndarray, rank: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """The first tokens of a set in the global order: others by hash, then hot ones from the rarest."""
-    n = len(h)
+def bitmap(h: np.ndarray) -> np.ndarray:
+    """The parity of a set's tokens by hash, as BITMAP numbers: two bitmaps differ in no more bits than their sets in tokens."""
+    odd = np.bincount((h >> np.uint64(40)).astype(np.int64) % (64 * BITMAP), minlength=64 * BITMAP).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").view("<i8")
+
+
+def prefix(h: np.ndarray, hot: np.ndarray, rank: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, int]:
+    """The first tokens of a set in the global order, and how many of them are hot: others by hash, then hot ones from
+    the rarest."""
+    n, cold = len(h), len(h)
     if len(hot):
         at = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
         is_hot = hot[at] == h
         if is_hot.any():
             own = h[is_hot]
+            cold -= len(own)
             h = np.concatenate([h[~is_hot], own[np.lexsort((own, rank[at[is_hot]]))]])
-    return h[: n - (percent * n + 99) // 100 + 1]
+    size = n - (percent * n + 99) // 100 + 1
+    return h[:size], max(0, size - cold)
 
 
 def _texts(batches, text: str, rows: int = 250):
@@ -186,156 +213,151 @@ def _hot(docs: DataFrame, text: str, parts: int) -> tuple[np.ndarray, np.ndarray
     return t[order], rows.column("n").to_numpy()[order]
 
 
-def _candidates(p: np.ndarray, percent: int, big: int) -> tuple[np.ndarray, np.ndarray]:
-    """(pairs as _counted gives them, postings of long lists) of one part's postings."""
-    p = p[np.lexsort((p["s"], p["n"], p["t"]))]
-    same = np.concatenate([[False], (p["t"][1:] == p["t"][:-1]) & (p["s"][1:] == p["s"][:-1])])
-    p = p[~same]
-    edge = np.flatnonzero(np.concatenate([[True], p["t"][1:] != p["t"][:-1]]))
-    size = np.diff(np.concatenate([edge, [len(p)]]))
-    keep = np.repeat(size > 1, size)
-    p, size = p[keep], size[size > 1]
-    end = np.repeat(np.cumsum(size), size)
-    long = np.repeat(size > big, size)
-    n, s = p["n"].astype(np.int64), p["s"]
-    found = []
-
-    i, step = np.flatnonzero(~long), 1
-    while len(i):
-        i = i[i + step < end[i]]
-        i = i[100 * n[i] >= percent * n[i + step]]  # sizes rise along a list: all partners further on are skipped
-        found.append((i, i + step))
-        step += 1
-    return _counted(s, n, found), p[long]
-
-
-def _counted(s: np.ndarray, n: np.ndarray, found: list) -> np.ndarray:
-    """Columns a < b, their sizes, and in how many lists they met."""
-    i, j = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
-    swap = s[i] > s[j]
-    i, j = np.where(swap, j, i), np.where(swap, i, j)
-    order = np.lexsort((s[j], s[i]))
-    i, j = i[order], j[order]
-    if not len(i):
-        return np.zeros((0, 5), np.int64)
-    edge = np.flatnonzero(np.concatenate([[True], (s[i][1:] != s[i][:-1]) | (s[j][1:] != s[j][:-1])]))
-    c = np.diff(np.concatenate([edge, [len(i)]]))
-    i, j = i[edge], j[edge]
-    return np.stack([s[i], s[j], n[i], n[j], c], 1)
-
-
-def _led(p: np.ndarray, label: np.ndarray, often: np.ndarray, percent: int) -> np.ndarray:
-    """Pairs of a long list's leader, the set that most long lists hold (of equals the smallest), with the sets of other
-    classes that it can reach; then the same among the sets whose sizes are out of its reach."""
-    n, at, s = p["n"].astype(np.int64), p["p"].astype(np.int64), p["s"]
-    left, out = np.lexsort((s, -often)), []
-    while len(left) > 1:
-        i = left[0]
-        near = (100 * n[left] >= percent * n[i]) & (100 * n[i] >= percent * n[left])
-        j = left[near]
-        j = j[(label[j] != label[i]) & (np.minimum(n[i] - at[i], n[j] - at[j]) >= least_overlap(n[i], n[j], percent))]
-        out.append(np.stack([np.full(len(j), s[i]), s[j]], 1))
-        left = left[~near]
-    both = np.sort(np.concatenate(out), axis=1) if out else np.zeros((0, 2), np.int64)
-    return np.unique(both, axis=0) if len(both) else both
-
-
-def _across(p: np.ndarray, label: np.ndarray, often: np.ndarray, percent: int) -> np.ndarray:
-    """Pairs of different classes in one long list, sorted by size. Only sets outside the list's largest class are
-    taken up, each against the slice of sizes that it can reach."""
-    n, at, s = p["n"].astype(np.int64), p["p"].astype(np.int64), p["s"]
-    names, inverse, count = np.unique(label, return_inverse=True, return_counts=True)
-    main = int(count.argmax())
-    out = []
-    for i in np.flatnonzero(inverse != main):
-        lo, hi = np.searchsorted(n, -(-percent * n[i] // 100)), np.searchsorted(n, 100 * n[i] // percent, "right")
-        j = np.arange(lo, hi)
-        ok = (inverse[j] != inverse[i]) & ((inverse[j] == main) | (j > i)) & (np.minimum(n[i] - at[i], n[j] - at[j]) >= least_overlap(n[i], n[j], percent))
-        j = j[ok]
-        out.append(np.stack([np.full(len(j), s[i]), s[j]], 1))
-    both = np.sort(np.concatenate(out), axis=1) if out else np.zeros((0, 2), np.int64)
-    return np.unique(both, axis=0) if len(both) else both
-
-
-def _of_list(step, percent: int):
-    def pairs_of(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("n", "ascending"), ("s", "ascending")])
-        rows = np.empty(len(t), POSTING)
-        for c in ("s", "n", "p"):
-            rows[c] = t.column(c).to_numpy()
-        return _pair_table(step(rows, t.column("label").to_numpy(), t.column("long").to_numpy(), percent))
-
-    return pairs_of
-
-
-def _pair_table(pairs: np.ndarray) -> pa.Table:
-    return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
-
-
-def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) whose whole sets reach the similarity. sets: (s, blob)."""
-
-    def test(batches):
+def _live(p: np.ndarray, hot: np.ndarray, percent: int) -> pa.Table:
+    """The postings of tokens that two sets hold at least, each with the leader of its block that it can reach (a, na).
+    Those of hot tokens are spread over all parts: all stay, and have no leader yet."""
+    band = np.floor(np.log(np.maximum(p["n"], 1)) / math.log(101 / percent)).astype(np.int64)
+    order = np.lexsort((p["s"], p["w"], band, p["t"]))
+    p, band = p[order], band[order]
+    p = p[new := np.concatenate([[True], (p["t"][1:] != p["t"][:-1]) | (p["s"][1:] != p["s"][:-1])])]
+    band = band[new]
+    edge = np.concatenate([[True], p["t"][1:] != p["t"][:-1]])
+    size = np.diff(np.concatenate([np.flatnonzero(edge), [len(p)]]))
+    block = edge | np.concatenate([[True], band[1:] != band[:-1]])
+    sizes = np.diff(np.concatenate([np.flatnonzero(block), [len(p)]]))
+    lead = p[np.repeat(np.cumsum(sizes) - 1, sizes)]
+    is_hot = _among(p["t"], hot)
+    n, m = p["n"].astype(np.int64), lead["n"].astype(np.int64)
+    led = ~is_hot & (p["s"] != lead["s"]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+    led &= np.minimum(n - p["p"], m - lead["p"]) >= least_overlap(n, m, percent)
+    stay = np.repeat(size > 1, size) | is_hot
+    column = lambda x, mask=None: pa.array(x.astype(np.int64)[stay], pa.int64(), mask=None if mask is None else mask[stay])
+    out = {"t": pa.array(p["t"].astype(np.uint64).view(np.int64)[stay]), **{c: column(p[c]) for c in ("s", "n", "p", "w")}}
+    return pa.table(out | {"hot": pa.array(is_hot[stay]), "a": column(lead["s"], ~led), "na": column(m, ~led)})
+
+
+def _among(t: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    return hot[np.minimum(np.searchsorted(hot, t), len(hot) - 1)] == t if len(hot) else np.zeros(len(t), bool)
+
+
+def _needed(n: Column, m: Column, percent: int) -> Column:
+    """least_overlap() of two columns."""
+    return F.ceil(percent * (n + m) / F.lit(100.0 + percent) - 1e-9)
+
+
+def _behind(n: Column, percent: int) -> Column:
+    """Tokens behind the first ones of a set."""
+    return F.floor((percent * n + 99) / 100) - 1
+
+
+def _near(n: Column, m: Column, percent: int) -> Column:
+    return (100 * n >= percent * m) & (100 * m >= percent * n)
+
+
+def _by_leaders(lists: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, na, nb) of the leader a of each list's block with the sets of other classes that it can reach.
+    lists: (t, s, n, p, w, root), and `led` for sets that have led before."""
+    sized = lists.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / math.log(101 / percent)).cast("int"))
+    first = F.max(F.when(~F.col("led"), F.struct("w", F.xxhash64("s").alias("h"), "s", "n", "p", "root"))).alias("l")
+    lead = sized.groupBy("t", "band").agg(first, F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y and l is not null").select("t", "band", "l")
+    met = sized.join(lead, ["t", "band"]).where("root <> l.root")
+    ahead = F.least(F.col("n") - F.col("p"), F.col("l.n") - F.col("l.p"))
+    met = met.where(_near(F.col("n"), F.col("l.n"), percent) & (ahead >= _needed(F.col("n"), F.col("l.n"), percent)))
+    return met.select(F.col("l.s").alias("a"), F.col("s").alias("b"), F.col("l.n").alias("na"), F.col("n").alias("nb")).distinct()
+
+
+def _bits(side: str = "") -> list[Column]:
+    return [F.col(f"b{i}").alias(f"b{i}{side}") for i in range(BITMAP)]
+
+
+def _alike(percent: int) -> Column:
+    """Whether the bitmaps b0a... and b0b... of sets of na and nb tokens leave the similarity possible."""
+    apart = sum((F.bit_count(F.col(f"b{i}a").bitwiseXOR(F.col(f"b{i}b"))) for i in range(1, BITMAP)), F.bit_count(F.col("b0a").bitwiseXOR(F.col("b0b"))))
+    return apart <= F.col("na") + F.col("nb") - 2 * _needed(F.col("na"), F.col("nb"), percent)
+
+
+def _possible(pairs: DataFrame, firsts: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, na, nb) that bitmaps and the count of shared first tokens leave possible: two sets share no more
+    than those and what lies behind the first tokens of the one whose first tokens end earlier."""
+    side = lambda c: firsts.select(F.col("s").alias(c), F.col("ts").alias(f"t{c}"), *_bits(c))
+    most = F.size(F.array_intersect("ta", "tb")) + F.greatest(_behind(F.col("na"), percent), _behind(F.col("nb"), percent))
+    both = pairs.join(side("b"), "b").join(side("a"), "a").where(_alike(percent)).where(most >= _needed(F.col("na"), F.col("nb"), percent))
+    return both.select("a", "b", "na", "nb")
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b, na, nb) with `both`, the number of tokens that their whole sets share. sets: (s, blob).
+
+    The sets that a leader `a` is compared with are brought to it in groups of some STREAM rows, the leader's own row
+    first, and stream past it: no task holds more than one leader's set and one batch."""
+    counts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(STREAM)).cast("int").alias("groups"))
+    group = F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("g")
+    members = pairs.join(counts, "a").select("a", "b", "na", "nb", group).join(sets.withColumnRenamed("s", "b"), "b")
+    none = F.lit(None).cast("bigint")
+    leaders = counts.join(sets.withColumnRenamed("s", "a"), "a").select("a", none.alias("b"), none.alias("na"), none.alias("nb"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("g"), "blob")
+
+    def stream(batches):
+        name, x = None, None
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column("x"), batch.column("y")):
-                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
-                if len(x) > len(y):
-                    x, y = y, x
-                shared = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-                ok.append(100 * shared >= percent * (len(x) + len(y) - shared))
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            out = []
+            for a, g, b, blob in zip(*(batch.column(c) for c in ("a", "g", "b", "blob"))):
+                y = np.frombuffer(blob.as_buffer(), "<u8")
+                if not b.is_valid:
+                    name, x = (a.as_py(), g.as_py()), y.copy()
+                    out.append(None)
+                    continue
+                if name != (a.as_py(), g.as_py()):
+                    raise RuntimeError("a leader's set is missing")
+                few, many = (x, y) if len(x) < len(y) else (y, x)
+                out.append(int((many[np.minimum(np.searchsorted(many, few), len(many) - 1)] == few).sum()))
+            found = pa.array(out, pa.int64())
+            yield batch.select(["a", "b", "na", "nb"]).append_column("both", found).filter(found.is_valid())
         give_back()
 
-    left = pairs.join(sets.select(F.col("s").alias("b"), F.col("blob").alias("y")), "b")
-    both = left.join(sets.select(F.col("s").alias("a"), F.col("blob").alias("x")), "a")
-    return both.select("a", "b", "x", "y").mapInArrow(test, "a bigint, b bigint")
+    rows = leaders.select("a", "g", "b", "na", "nb", "blob").unionByName(members.select("a", "g", "b", "na", "nb", "blob"))
+    return rows.repartition("a", "g").sortWithinPartitions(F.col("a"), F.col("g"), F.col("b").asc_nulls_first()).mapInArrow(stream, "a bigint, b bigint, na bigint, nb bigint, both bigint")
 
 
-def classes(links: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of the links (a, b): root is the smallest node of its class. Alternates large and
-    small stars; each round's edges are a written table."""
-    spark = links.sparkSession
+def _joined_classes(lists: DataFrame, own: DataFrame, percent: int, keep=written) -> DataFrame:
+    """(a, b): heads of two classes with members that can be similar by size, position and the number of lists in which
+    both stand. lists: (t, s, n, p); own: (s, n, root, c, d), the class c that each set stands for and its root."""
+    entries = lists.join(own.select("s", "root", "c"), "s").groupBy("t", "c").agg(F.max("root").alias("root"), F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("p")).alias("ahead"))
+    mixed = entries.groupBy("t").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("t")
+    entries = keep(entries.join(mixed, "t"), "entries")
+    side = lambda c: entries.select("t", *[F.col(x).alias(f"{x}_{c}") for x in ("c", "root", "low", "high", "ahead")])
+    reach = (100 * F.col("high_a") >= percent * F.col("low_b")) & (100 * F.col("high_b") >= percent * F.col("low_a"))
+    both = side("a").join(side("b"), "t").where((F.col("c_a") < F.col("c_b")) & (F.col("root_a") != F.col("root_b")) & reach)
+    ahead = F.least("ahead_a", "ahead_b") >= _needed(F.col("low_a"), F.col("low_b"), percent)
+    met = both.groupBy(F.col("c_a").alias("a"), F.col("c_b").alias("b")).agg(F.count(F.lit(1)).alias("met"), F.max(ahead).alias("ahead"), F.min(F.col("low_a") + F.col("low_b")).alias("low"), F.max(F.greatest("high_a", "high_b")).alias("high"))
+    return met.where(F.col("ahead") & (F.col("met") + _behind(F.col("high"), percent) >= _needed(F.col("low"), F.lit(0), percent))).select("a", "b")
 
-    def forest(batches):
-        # within a task, links that close a cycle are left out before anything is shuffled
-        parent: dict[int, int] = {}
 
-        def root(x):
-            while parent.setdefault(x, x) != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
+def _are_links(percent: int) -> Column:
+    return 100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))
 
-        for batch in batches:
-            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
-                a, b = root(a), root(b)
-                if a != b:
-                    parent[max(a, b)] = min(a, b)
-        rows = [(x, root(x)) for x in list(parent) if root(x) != x]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["u", "v"])
-
-    edges = written(links.mapInArrow(forest, "u bigint, v bigint"), "edges")
-    before = None
+
+def classes(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """(node, root) for every node of the links (a, b): root is the smallest node of its class. Alternates large and
+    small stars; each round's edges are a written table. Ends when the edges are stars: no node has two edges upward,
+    and none that has one is an end of another."""
+    spark = links.sparkSession
+    edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     for _ in range(most_rounds):
+        ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        if ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up = 1 and down = 1").isEmpty():
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        low = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        after = written(small, "edges")
-        state = after.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("bigint"))).first()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+        after = written(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "edges")
         discard(spark, edges)
         edges = after
-        if state == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = state
     raise RuntimeError("the classes did not settle")
 
 
-def components(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, big: int = BIG) -> DataFrame:
+def components(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """`df` without its text column, one row for each of its rows, with n_shingles (size of the set) and component_id.
 
     component_id is the smallest key reachable by links, the row's own included. Texts with fewer than five words
@@ -346,99 +368,151 @@ def components(df: DataFrame, key: str = "doc_id", text: str = "text", percent:
     if not 50 < percent <= 100:
         raise ValueError("percent must be over 50, and 100 at most")
     with small_batches(df.sparkSession, 1000):
-        return _components(df, key, text, percent, big)
+        return _components(df, key, text, percent)
 
 
-def _components(df: DataFrame, key: str, text: str, percent: int, big: int) -> DataFrame:
+def _components(df: DataFrame, key: str, text: str, percent: int) -> DataFrame:
     spark = df.sparkSession
     docs = df.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("text"))
     rest = without(df, key, text, "n_shingles", "component_id")
     parts = _parts(docs)
     hot, rank = _hot(docs, "text", parts)
-    order = spark.sparkContext.broadcast((hot, rank))  # HOT_TOKENS entries at most
+    order = spark.sparkContext.broadcast((hot, rank))  # HOT_TOKENS entries at most, 16 MB
     give_back()
 
-    def sized(batches):
-        for batch, sets in _texts(batches, "text"):
-            found = pa.array([signature(h) if len(h) else None for h in sets], pa.int64()), pa.array([len(h) for h in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("k"), *found, *batch.columns[2:]], names=["k", "s", "n", *batch.schema.names[2:]])
-
-    # the other columns go along with the rows' sizes, so that no join by key is needed to bring them back
+    # One pass over the texts gives two kinds of rows: the table's own, with the size and name of their sets (and the
+    # bitmap; the other columns go along, so that no join by key is needed to bring them back), and postings in blobs.
     whole = df.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("text"), *[F.col(c).alias(f"r{i}") for i, c in enumerate(rest)])
     number = T.LongType()
-    schema = T.StructType([T.StructField("k", number), T.StructField("s", number), T.StructField("n", number), *whole.schema.fields[2:]])
-    members = written(whole.mapInArrow(sized, schema), "members")
-    owners = members.where("s is not null").groupBy("s").agg(F.min("k").alias("owner"))
+    numbers = [*("k", "s", "n"), *(f"b{i}" for i in range(BITMAP))]
+    schema = T.StructType([*(T.StructField(c, number) for c in numbers), *(T.StructField(f.name, f.dataType) for f in whole.schema.fields[2:]), T.StructField("part", T.IntegerType()), T.StructField("blob", T.BinaryType())])
 
-    def postings(batches):
+    def indexed(batches):
         seen, held, size = set(), [], 0
-        for _, sets in _texts(batches, "text"):
-            for h in sets:
-                if not len(h) or (s := signature(h)) in seen:
+        kinds: list = []
+
+        def posted():
+            found = _blobs(held, spread(held), parts)
+            empty = [pa.nulls(len(found), pa.int64()) for _ in numbers] + [pa.nulls(len(found), kind) for kind in kinds]
+            return pa.RecordBatch.from_arrays([*empty, *found.columns], names=schema.names)
+
+        for batch, sets in _texts(batches, "text"):
+            kinds = [f.type for f in batch.schema][2:]
+            names = [signature(h) if len(h) else None for h in sets]
+            bits = np.stack([bitmap(h) for h in sets], 1) if sets else np.zeros((BITMAP, 0), "<i8")
+            columns = [batch.column("k"), pa.array(names, pa.int64()), pa.array([len(h) for h in sets], pa.int64()), *(pa.array(b) for b in bits), *batch.columns[2:]]
+            yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())], names=schema.names)
+            for s, h in zip(names, sets):
+                if s is None or s in seen:
                     continue
                 seen.add(s)
-                first = prefix(h, *order.value, percent)
+                first, warm = prefix(h, *order.value, percent)
                 rows = np.empty(len(first), POSTING)
-                rows["t"], rows["s"], rows["n"], rows["p"] = first, s, len(h), np.arange(len(first))
+                rows["t"], rows["s"], rows["n"], rows["p"], rows["w"] = first, s, len(h), np.arange(len(first)), warm
                 held.append(rows)
                 size += len(rows)
             if size > 1 << 17:
-                yield _blobs(held, np.concatenate([x["t"] for x in held]), parts)
+                yield posted()
                 held, size = [], 0
         if held:
-            yield _blobs(held, np.concatenate([x["t"] for x in held]), parts)
+            yield posted()
 
-    def candidates(t: pa.Table) -> pa.Table:
-        pairs, long = _candidates(_joined(t, POSTING), percent, big)
+    def spread(held: list[np.ndarray]) -> np.ndarray:
+        # a hot token's list lies in all parts: that two sets hold it is known
+        all_ = np.concatenate(held)
+        return np.where(_among(all_["t"], order.value[0]), _mix(all_["s"].view(np.uint64)), all_["t"])
+
+    def live_of(t: pa.Table) -> pa.Table:
+        out = _live(_joined(t, POSTING), order.value[0], percent)
         give_back()
-        names = ("a", "b", "na", "nb", "met")
-        out = pa.table({k: pa.array(np.ascontiguousarray(pairs[:, i]), pa.int64()) for i, k in enumerate(names)})
-        for k in ("t", "p"):
-            out = out.append_column(k, pa.nulls(len(out), pa.int64()))
-        size = long["n"].astype(np.int64)
-        columns = {"a": long["s"], "b": long["s"], "na": size, "nb": size, "met": size, "t": long["t"].view(np.int64), "p": long["p"].astype(np.int64)}
-        return pa.concat_tables([out, pa.table({k: pa.array(np.ascontiguousarray(v), pa.int64()) for k, v in columns.items()})])
-
-    schema = "a bigint, b bigint, na bigint, nb bigint, met bigint, t bigint, p bigint"
-    found = written(docs.mapInArrow(postings, "part int, blob binary").groupBy("part").applyInArrow(candidates, schema), "candidates")
-    # Two sets share no more than the first tokens they have in common (those in short lists are counted, those in long
-    # lists are taken as common) and what lies behind the first tokens of the one whose first tokens end earlier.
-    long = found.where("t is not null")
-    slack = long.groupBy("a").agg(F.count(F.lit(1)).alias("long"))
-    behind = lambda n: F.floor((percent * F.col(n) + 99) / 100) - 1
-    pairs = found.where("t is null").groupBy("a", "b").agg(F.sum("met").alias("met"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    pairs = pairs.join(slack, "a", "left").withColumnRenamed("long", "la").join(slack.withColumnRenamed("a", "b"), "b", "left")
-    most = F.col("met") + F.least(F.coalesce("la", F.lit(0)), F.coalesce("long", F.lit(0))) + F.greatest(behind("na"), behind("nb"))
-    pairs = written(pairs.where((100 + percent) * most >= percent * (F.col("na") + F.col("nb"))).select("a", "b"), "pairs")
-    every = [pairs.select(F.col("a").alias("s")), pairs.select(F.col("b").alias("s")), long.select(F.col("a").alias("s"))]
-    needed = every[0].unionByName(every[1]).unionByName(every[2]).distinct()
+        return out
+
+    index = written(whole.mapInArrow(indexed, schema), "index")
+    members, postings = index.where("part is null"), index.where("part is not null").select("part", "blob")
+    owners = members.where("s is not null").groupBy("s").agg(F.min("k").alias("owner"), F.first("n").alias("n"), *[F.first(f"b{i}").alias(f"b{i}") for i in range(BITMAP)])
 
     def blobs(batches):
-        done = set()
         for _, sets in _texts(batches, "text"):
-            rows = [(s, h.astype("<u8").tobytes()) for h in sets if len(h) and (s := signature(h)) not in done and not done.add(s)]
+            done, rows = set(), []
+            for h in sets:
+                if len(h) and (s := signature(h)) not in done:
+                    done.add(s)
+                    rows.append((s, h.astype("<u8").tobytes()))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["s", "blob"])
 
-    wanted = owners.join(needed, "s").select("owner")
-    sets = written(docs.join(wanted, F.col("k").eqNullSafe(F.col("owner")), "left_semi").select("text").mapInArrow(blobs, "s bigint, blob binary"), "sets")
-    with small_batches(spark, 100):
-        linked = written(verified(pairs, sets, percent), "links")
-    if not long.isEmpty():
-        lists = long.select(F.col("a").alias("node"), "t", F.col("na").alias("n"), "p").join(slack.withColumnRenamed("a", "node"), "node")
-        for step in (_led, _led, _across):
+    held: list[DataFrame] = []
+
+    def keep(rows: DataFrame, what: str) -> DataFrame:
+        held.append(written(rows, what))
+        return held[-1]
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        """`pairs` with the sizes of their intersections, as a written table; sets are made anew from one text of each."""
+        ids = written(pairs.select(F.col("a").alias("s")).unionByName(pairs.select(F.col("b").alias("s"))).distinct(), "ids")
+        wanted = members.join(ids, "s").groupBy("s").agg(F.min("k").alias("owner")).select("owner")
+        rows = docs.join(wanted, F.col("k").eqNullSafe(F.col("owner")), "left_semi").select("text").mapInArrow(blobs, "s bigint, blob binary")
+        sets = written(rows.join(ids, "s", "left_semi").dropDuplicates(["s"]), "sets")
+        with small_batches(spark, 250):
+            out = keep(verified(pairs, sets), "compared")
+        discard(spark, ids, sets)
+        return out
+
+    lists = keep(postings.groupBy("part").applyInArrow(live_of, "t bigint, s bigint, n bigint, p bigint, w bigint, hot boolean, a bigint, na bigint"), "lists")
+    firsts = keep(lists.groupBy("s").agg(F.collect_list("t").alias("ts")).join(owners.drop("owner"), "s"), "firsts")
+
+    def labelled(rows: DataFrame, known: DataFrame) -> DataFrame:
+        return rows.join(known, F.col("s") == F.col("node"), "left").select(*rows.columns, F.coalesce("root", "s").alias("root"))
+
+    long = lists.where("hot").select("t", "s", "n", "p", "w")
+    for turn in range(LEADERS):
+        if not turn:
+            pairs = _by_leaders(long.select("*", F.col("s").alias("root"), F.lit(False).alias("led")), percent)
+            pairs = pairs.unionByName(lists.where("a is not null").select("a", F.col("s").alias("b"), "na", F.col("n").alias("nb"))).distinct()
+        else:
+            leaders = seen.select(F.col("a").alias("s"), F.lit(True).alias("led")).distinct()
+            rows = labelled(long, known).join(leaders, "s", "left").withColumn("led", F.coalesce("led", F.lit(False)))
+            tried = seen.select("a", "b").unionByName(seen.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            pairs = _by_leaders(rows, percent).join(tried, ["a", "b"], "left_anti")
+        pairs = keep(_possible(pairs, firsts, percent), "pairs")
+        if turn and pairs.isEmpty():
+            break
+        found = compared(pairs)
+        seen = found if not turn else seen.unionByName(found)
+        if turn and found.where(_are_links(percent)).isEmpty():
+            break
+        known = classes(seen.where(_are_links(percent)).select("a", "b"))
+
+    # each set's head: the leader it shares most with, and how many of its tokens that one lacks
+    links = seen.where(_are_links(percent))
+    share = F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))
+    heads = links.groupBy(F.col("b").alias("s")).agg(F.max(F.struct(share.alias("j"), F.col("a").alias("c"), (F.col("nb") - F.col("both")).alias("d"))).alias("h")).select("s", "h.c", "h.d")
+    own = labelled(firsts.drop("ts"), known).join(heads, "s", "left").select("s", "n", "root", *_bits(), F.coalesce("c", "s").alias("c"), F.coalesce("d", F.lit(0)).alias("d"))
+    own = keep(own, "heads")
+    found = _joined_classes(lists, own, percent, keep)
+    pairs = keep(found.join(own.select(F.col("s").alias("a"), F.col("n").alias("na")), "a").join(own.select(F.col("s").alias("b"), F.col("n").alias("nb")), "b"), "pairs")
+    linked = links.select("a", "b")
+    if not pairs.isEmpty():
+        heads = compared(pairs.select("a", "b", "na", "nb"))
+        linked = linked.unionByName(heads.where(_are_links(percent)).select("a", "b"))
+        wide = own.groupBy("c").agg(F.max("d").alias("d"), F.min("n").alias("low"))
+        side = lambda c: wide.select(F.col("c").alias(c), F.col("d").alias(f"d{c}"), F.col("low").alias(f"low{c}"))
+        undecided = heads.where(~_are_links(percent)).join(side("a"), "a").join(side("b"), "b").where("da + db > 0")
+        undecided = keep(undecided.where(F.col("both") + F.col("da") + F.col("db") >= _needed(F.col("lowa"), F.col("lowb"), percent)).select("a", "b", "both"), "undecided")
+        if not undecided.isEmpty():
             known = classes(linked)
-            labelled = lists.join(known, "node", "left").select("t", F.col("node").alias("s"), "n", "p", "long", F.coalesce("root", "node").alias("label"))
-            mixed = labelled.groupBy("t").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("t")
-
-            # lists within one class have no more to tell
-            more = labelled.join(mixed, "t").groupBy("t").applyInArrow(_of_list(step, percent), "a bigint, b bigint").distinct()
-            with small_batches(spark, 100):
-                linked = linked.unionByName(written(verified(more, sets, percent), "links"))
+            member = labelled(own.drop("root"), known)
+            side = lambda c: member.select(F.col("c").alias(c), F.col("s").alias(f"s{c}"), F.col("n").alias(f"n{c}"), F.col("d").alias(f"d{c}"), F.col("root").alias(f"r{c}"), *_bits(c))
+            bound = F.col("both") + F.col("da") + F.col("db") >= _needed(F.col("na"), F.col("nb"), percent)
+            single = undecided.join(side("a"), "a").join(side("b"), "b").where(bound & (F.col("ra") != F.col("rb")) & _near(F.col("na"), F.col("nb"), percent) & _alike(percent))
+            single = single.select(F.col("sa").alias("a"), F.col("sb").alias("b"), "na", "nb").distinct()
+            last = compared(keep(_possible(single, firsts, percent), "pairs"))
+            linked = linked.unionByName(last.where(_are_links(percent)).select("a", "b"))
     roots = classes(linked)
     named = owners.join(roots.withColumnRenamed("node", "s"), "s", "left").select("s", "owner", F.coalesce("root", "s").alias("root"))
     least = named.groupBy("root").agg(F.min("owner").alias("least"))
     of = named.join(least, "root").select("s", "least")
+    discard(spark, *held)
     back = [F.col(f"r{i}").alias(c) for i, c in enumerate(rest)]
     return members.join(of, "s", "left").select(F.col("k").alias(key), *back, F.col("n").alias("n_shingles"), F.coalesce("least", "k").alias("component_id"))
 
