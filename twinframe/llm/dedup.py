@@ -41,6 +41,7 @@ WORDS, PERCENT = 5, 80
 HOT_TOKENS, HOT_SAMPLE = 1_000_000, 16
 LEADERS = 3  # times that long lists get leaders before their classes are joined; shapes the work, not the result
 BITMAP = 16  # 64-bit words of a set's bitmap
+BROADCAST = 500_000  # names of sets, each of 8 bytes
 STREAM = 256  # partners of a leader that one group of rows brings to it
 POSTING = np.dtype([("t", "<u8"), ("s", "<i8"), ("n", "<u4"), ("p", "<u4"), ("w", "<u4")])
 
@@ -450,9 +451,11 @@ def _components(df: DataFrame, key: str, text: str, percent: int) -> DataFrame:
     def compared(pairs: DataFrame) -> DataFrame:
         """`pairs` with the sizes of their intersections, as a written table; sets are made anew from one text of each."""
         ids = written(pairs.select(F.col("a").alias("s")).unionByName(pairs.select(F.col("b").alias("s"))).distinct(), "ids")
-        wanted = members.join(ids, "s").groupBy("s").agg(F.min("k").alias("owner")).select("owner")
+        few = ids.count() <= BROADCAST
+        some = F.broadcast if few else (lambda rows: rows)  # BROADCAST names at most; more are met by a shuffled join
+        wanted = some(members.join(some(ids), "s").groupBy("s").agg(F.min("k").alias("owner")).select("owner"))
         rows = docs.join(wanted, F.col("k").eqNullSafe(F.col("owner")), "left_semi").select("text").mapInArrow(blobs, "s bigint, blob binary")
-        sets = written(rows.join(ids, "s", "left_semi").dropDuplicates(["s"]), "sets")
+        sets = written(rows.join(some(ids), "s", "left_semi").dropDuplicates(["s"]), "sets")
         with small_batches(spark, 250):
             out = keep(verified(pairs, sets), "compared")
         discard(spark, ids, sets)
