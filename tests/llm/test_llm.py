@@ -42,12 +42,15 @@ def test_pieces_equal_the_library_and_come_back(spark, docs, odd):
 
     sp = sentencepiece.SentencePieceProcessor(model_file=sentencepieces.default_model())
     hard = [(k, t) for k, t in enumerate(["=" * 900, " " * 700, "thethethe" * 120, "漢" * 400, "a▁b  c" * 150, "é=\x00 " * 200])]
-    for df, chunk in ((docs.select("doc_id", "text"), 700), (spark.createDataFrame(hard, "doc_id bigint, text string"), 128)):
-        rows = sentencepieces.encode(df, "doc_id", "text", chunk_chars=chunk).collect()
+    some = docs.select("doc_id", "text")
+    for df, chunk, library in ((some, 700, True), (some, 5000, False), (spark.createDataFrame(hard, "doc_id bigint, text string"), 128, True), (spark.createDataFrame(hard, "doc_id bigint, text string"), 128, False)):
+        rows = sentencepieces.encode(df, "doc_id", "text", chunk_chars=chunk, library=library).collect()
         assert len(rows) == df.count() and max(r["n_chunks"] for r in rows) > 1
         assert all(r["ids"] == sp.encode(r["text"]) for r in rows)
+    clash = sentencepieces.encode(odd.limit(0).withColumns({"IDS": F.lit(1), "n_ids": F.lit("x"), "__row": F.lit(2)}), "doc_id", "text")
+    assert clash.count() == 0 and [c for c in clash.columns if c.lower() in ("ids", "n_ids", "n_chunks", "__row")] == ["__row", "ids", "n_ids", "n_chunks"]
     got = {r["doc_id"]: r for r in sentencepieces.summary(sentencepieces.encode(odd, "doc_id", "text"), "doc_id", "text").collect()}
-    assert got[1]["n_ids"] is None and got[2]["n_ids"] == 0 and got[5]["n_chunks"] == 2 and all(r["round_trip"] for r in got.values())
+    assert got[1]["n_ids"] is None and got[2]["n_ids"] == 0 and got[5]["n_chunks"] == 3 and all(r["round_trip"] for r in got.values())
 
 
 def test_long_texts_without_a_key_or_with_a_repeated_one(spark):
@@ -58,7 +61,7 @@ def test_long_texts_without_a_key_or_with_a_repeated_one(spark):
     rows = [(None, a, "p"), (None, b, None), (3, a, "q"), (3, b, "q"), (3, b, "q"), (None, "short", "r"), (4, a, "s")]
     got = sentencepieces.encode(spark.createDataFrame(rows, "doc_id bigint, text string, __row string").repartition(3), "doc_id", "text").collect()
     assert sorted(map(repr, rows)) == sorted(repr((r["doc_id"], r["text"], r["__row"])) for r in got)
-    assert all(r["ids"] == sp.encode(r["text"]) and r["n_ids"] == len(r["ids"]) and r["n_chunks"] == (1 if r["text"] == "short" else 2) for r in got)
+    assert all(r["ids"] == sp.encode(r["text"]) and r["n_ids"] == len(r["ids"]) and r["n_chunks"] == (1 if r["text"] == "short" else 3) for r in got)
 
 
 def test_warc(spark, tmp_path):

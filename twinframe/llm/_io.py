@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import shutil
 import tempfile
 import uuid
@@ -19,9 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; a local one is made only where it is unset."""
+    """The folder that driver and executors share, from spark.checkpoint.dir. Where that is unset, a local folder is made if
+    Spark runs on this machine alone; on a cluster it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="twinframe-")
         atexit.register(shutil.rmtree, own, True)
         found = f"file://{own}"
@@ -64,24 +68,29 @@ def held_out(doc_id="doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+ROWS, BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH = 8 << 20  # bytes of an Arrow batch
+
+
 @contextlib.contextmanager
 def small_batches(spark: SparkSession, rows: int = 500):
-    """While this holds, Arrow batches have few rows: for steps whose rows are large."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
+    """While this holds, Arrow batches have few rows, and BATCH bytes at most: for steps whose rows are large."""
+    before = {name: spark.conf.get(name, None) for name in (ROWS, BYTES)}
+    spark.conf.set(ROWS, str(rows))
+    spark.conf.set(BYTES, str(BATCH))
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value) if value is not None else spark.conf.unset(name)
 
 
 def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Lowers the session's Arrow batches to `rows` rows, for jobs over whole texts: the JVM holds a batch outside its
-    heap, the worker another, and the size is read only when a job runs. A lower setting stays."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= rows:
-        spark.conf.set(name, str(rows))
+    """Lowers the session's Arrow batches to `rows` rows and BATCH bytes, for jobs over whole texts: the JVM holds a batch
+    outside its heap, the worker another, and the size is read only when a job runs. A lower setting stays."""
+    if not 0 < int(spark.conf.get(ROWS)) <= rows:
+        spark.conf.set(ROWS, str(rows))
+    spark.conf.set(BYTES, str(BATCH))
 
 
 def give_back() -> None:

@@ -10,15 +10,20 @@ A text is cut into chunks of `chunk_chars` characters, wherever that falls. A ch
 piece that holds the last character before the border (piece, and how far it reaches beyond). Each chunk yields the
 matrix of best path weights from every state at its left border to every state at its right border; matrices are
 multiplied associatively (in blocks, then over blocks), which gives the state at every border, and each chunk is then
-traced back by itself between its two states. A text of one chunk has one matrix with one entry and needs no scan.
+traced back by itself between its two states. A text of one chunk has one matrix with one entry.
 
-Inside a chunk the C++ library encodes the stretch between the first and the last place where no piece can cross
-(before a run of word marks that follows other text); only the fringes, or the whole of a chunk without such a place,
-go through the step-by-step recursion. Characters outside the vocabulary are single symbols that become byte pieces.
+Where no piece can cross (before a run of word marks that follows other text) there is one state, so the matrices on
+both sides are a column and a row, and either side has its path by itself. What lies between two such places is
+encoded by the model's C++ library, or with `library=False` stretch by stretch by the same recursion as the fringes of a
+chunk (ids are equal; it takes some ten times the time). Characters outside the vocabulary are single symbols that
+become byte pieces.
 """
 
 from __future__ import annotations
 
+import re
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -29,8 +34,9 @@ from pyspark.sql import types as T
 from ._io import give_back, without, written
 
 MARK = "▁"  # stands for a blank
-CHUNK, BLOCK = 65536, 256  # characters of a chunk; chunks of a block
+CHUNK, BLOCK = 32768, 256  # characters of a chunk; chunks of a block
 LOW = -np.inf
+_STRETCH = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
 def default_model() -> str:
@@ -42,9 +48,10 @@ def default_model() -> str:
 class Coder:
     """One worker's model: pieces, the step test and the library's encoder."""
 
-    def __init__(self, model: bytes):
+    def __init__(self, model: bytes, library: bool = True):
         import sentencepiece
 
+        self.library = library
         self.sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         pieces = [self.sp.id_to_piece(i) for i in range(self.sp.get_piece_size())]
         plain = [i for i, p in enumerate(pieces) if not (self.sp.is_control(i) or self.sp.is_unknown(i) or self.sp.is_byte(i) or self.sp.is_unused(i))]
@@ -59,6 +66,7 @@ class Coder:
         if self.sp.decode(probe) != "ab a" or self.sp.encode("a  b", out_type=str)[0][0] != MARK:
             raise ValueError("only models that keep blanks and put one before the text are supported")
         self.pairs: dict[tuple[str, str], bool] = {}
+        self.words = _Words(self)
 
     def merge(self, text: str) -> list[str]:
         """Greedy merging of a short text: at each step the best-ranked pair of neighbours, the leftmost of equals."""
@@ -88,6 +96,17 @@ class Coder:
                 out += [self.bytes[b] for b in p.encode()]
         return out
 
+    def encode(self, marked: str) -> list[int]:
+        """Ids of a text that starts with a word mark, by the one path from its start to its end."""
+        if self.library:
+            return self.sp.encode(marked[1:].replace(MARK, " ")) if marked else []  # the library puts the first mark back
+        if not self.hard:
+            return self.trace(marked)
+        return list(chain.from_iterable(map(self.words.__getitem__, _STRETCH.findall(marked))))
+
+    def trace(self, marked: str) -> list[int]:
+        return self.numbers(back(self.walk(marked, 0, None, len(marked)), 0, len(marked)))
+
     def around(self, text: str, at: int) -> list[tuple[str, int]]:
         """States at a border: (piece, end) of every piece that could hold the character before `at`."""
         out = []
@@ -112,6 +131,32 @@ class Coder:
         return last
 
 
+class _Words(dict):
+    """Ids of stretches that no piece crosses the ends of; MOST short ones are kept, a worker then starts anew."""
+
+    MOST, LONGEST = 100_000, 48
+
+    def __init__(self, coder: Coder):
+        self.coder = coder
+
+    def __missing__(self, stretch: str) -> list[int]:
+        ids = self.coder.trace(stretch)
+        if len(stretch) <= self.LONGEST:
+            if len(self) >= self.MOST:
+                self.clear()
+            self[stretch] = ids
+        return ids
+
+
+def back(path: dict, start: int, end: int) -> list[str]:
+    """The pieces of a path, from its end."""
+    out = []
+    while end > start:
+        out.append(path[end])
+        end -= len(path[end])
+    return out[::-1]
+
+
 def breaks(text: str, start: int, stop: int) -> tuple[int, int]:
     """The first and the last position in [start, stop] where no piece crosses, or (-1, -1)."""
     first = last = -1
@@ -165,24 +210,15 @@ class Chunk:
                 out[i] = [0.0 if self._end_in(tail, e) else LOW for e in self.ends]
         return out
 
-    @staticmethod
-    def _back(path: dict, start: int, end: int) -> list[str]:
-        out = []
-        while end > start:
-            out.append(path[end])
-            end -= len(path[end])
-        return out[::-1]
-
     def trace(self, start: int, end: int) -> list[int]:
         """Ids of the pieces after the state `start`, up to and with the state `end`."""
         s, e = self.starts[start], self.ends[end]
         head = self._head(s)
         if self.first < 0:
-            return self.c.numbers(self._back(head, s[1], e[1]))
-        middle = self.text[self.first + 1 : self.last]  # the library puts the first mark back
-        ids = self.c.numbers(self._back(head, s[1], self.first))
-        ids += self.c.sp.encode(middle.replace(MARK, " ")) if self.last > self.first else []
-        return ids + self.c.numbers(self._back(self._tail(), self.last, e[1]))
+            return self.c.numbers(back(head, s[1], e[1]))
+        ids = self.c.numbers(back(head, s[1], self.first))
+        ids += self.c.encode(self.text[self.first : self.last])
+        return ids + self.c.numbers(back(self._tail(), self.last, e[1]))
 
 
 def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -190,10 +226,11 @@ def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a[..., :, None] + b).max(axis=-2)
 
 
-def _coder(model: bytes) -> Coder:
+def _coder(model: bytes, library: bool = True) -> Coder:
     global _kept
     if _kept is None or _kept[0] != model:
         _kept = (model, Coder(model))
+    _kept[1].library = library
     return _kept[1]
 
 
@@ -215,20 +252,29 @@ def _unpack(b: bytes) -> np.ndarray:
 
 
 def _chunks(df: DataFrame, key: str, text: str, chunk: int, margin: int) -> DataFrame:
-    """(key, n, no, lead, part) of texts over one chunk; text after the library's way of marking blanks."""
-    marked = F.concat(F.lit(MARK), F.replace(df[text], F.lit(" "), F.lit(MARK)))
-    d = df.select(df[key].alias("key"), marked.alias("t"))
-    d = d.withColumn("n", F.floor((F.length("t") + chunk - 1) / chunk).cast("int"))
-    d = d.select("key", "t", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("no"))
-    start = F.col("no") * chunk
-    lead = F.least(start, F.lit(margin))
-    return d.select("key", "n", "no", lead.cast("int").alias("lead"), F.substring(F.col("t"), start - lead + 1, lead + chunk + margin).alias("part"))
+    """(key, n, no, lead, part) of texts over one chunk, with the surroundings that show, dealt out by chunk and written;
+    the text has the library's way of marking blanks. Each text is cut in one go."""
 
+    def cut(batches):
+        for batch in batches:
+            for name, t in zip(batch.column(0), batch.column(1)):
+                t = MARK + t.as_py().replace(" ", MARK)
+                n = -(-len(t) // chunk)
+                for first in range(0, n, 64):
+                    numbers = range(first, min(n, first + 64))
+                    lead = [min(k * chunk, margin) for k in numbers]
+                    parts = [t[k * chunk - d : (k + 1) * chunk + margin] for k, d in zip(numbers, lead)]
+                    yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(lead), name.type), pa.array([n] * len(lead), pa.int32()), pa.array(list(numbers), pa.int32()), pa.array(lead, pa.int32()), pa.array(parts, pa.string())], names=["key", "n", "no", "lead", "part"])
+
+    rows = df.select(F.col(key).alias("key"), F.col(text).alias("t"))
+    kind = rows.schema["key"].dataType.simpleString()
+    return written(rows.mapInArrow(cut, f"key {kind}, n int, no int, lead int, part string").repartition("key", "no"), "sp-chunks")
 
-def encode(df: DataFrame, key: str, text: str, model: str | None = None, chunk_chars: int = CHUNK) -> DataFrame:
+
+def encode(df: DataFrame, key: str, text: str, model: str | None = None, chunk_chars: int = CHUNK, library: bool = True) -> DataFrame:
     """`df` with ids array<int>, n_ids bigint and n_chunks int.
 
-    Every row stays, whatever its `key`: keys may be null or repeat, as rows of long texts get a number of their own. The
+    The step-by-step recursion takes all of a text if not `library`. Every row stays, whatever its `key`: keys may be null or repeat, as rows of long texts get a number of their own. The
     ids are those of the library's own encoder. A null text has null ids (and no chunk), an empty one an empty array.
     Columns of these names are replaced. Texts over one chunk are written with their row's number and dealt out by
     chunk: no task handles one as a whole before its ids are put together in its row.
@@ -240,14 +286,14 @@ def encode(df: DataFrame, key: str, text: str, model: str | None = None, chunk_c
     keep = without(df, "ids", "n_ids", "n_chunks")
     base = df.select(*[df[c] for c in keep])
     is_large = F.coalesce(F.length(base[text]) >= chunk_chars, F.lit(False))
-    small = _encode_small(base.where(~is_large), text, data)
+    small = _encode_small(base.where(~is_large), text, data, library)
     row = "__row"
     while row in {c.lower() for c in keep}:
         row += "_"
     # the numbers hold only once they are written: another run of the same plan may deal them out otherwise
     storable = [c for c, kind in base.dtypes if kind != "void"]
     large = written(base.where(is_large).select(*[base[c] for c in storable], F.monotonically_increasing_id().alias(row)), "sp-large")
-    big = large.join(_encode_large(large, row, text, data, chunk_chars, margin), row)
+    big = large.join(_encode_large(large, row, text, data, chunk_chars, margin, library), row)
     big = big.withColumns({c: F.lit(None) for c in keep if c not in storable})
     return small.unionByName(big.select(*small.columns))
 
@@ -264,18 +310,18 @@ def _slices(sizes: list[int], most: int):
         yield start, len(sizes)
 
 
-def _encode_small(base: DataFrame, text: str, data: bytes) -> DataFrame:
+def _encode_small(base: DataFrame, text: str, data: bytes, library: bool) -> DataFrame:
     """Texts of one chunk: from the text's start to its end there is one state at either border."""
     schema = T.StructType([*base.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_ids", T.LongType()), T.StructField("n_chunks", T.IntegerType())])
 
     def each(batches):
-        sp = _coder(data).sp
+        coder = _coder(data, library)
         for batch in batches:
             column = batch.column(batch.schema.names.index(text))
             # a slice at a time goes back, so that a worker never holds the ids of a whole batch
             for start, end in _slices(pc.fill_null(pc.binary_length(column), 0).to_pylist(), 1 << 20):
                 texts = column.slice(start, end - start).to_pylist()
-                lists = [np.asarray(x, "i4") for x in sp.encode([t or "" for t in texts], num_threads=1)]
+                lists = [np.asarray(coder.encode(MARK + t.replace(" ", MARK)) if t else [], "i4") for t in texts]
                 sizes = np.array([len(x) for x in lists], "i8")
                 missing = np.array([t is None for t in texts], bool)
                 packed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype("i4")), pa.array(np.concatenate(lists)), mask=pa.array(missing))
@@ -285,13 +331,13 @@ def _encode_small(base: DataFrame, text: str, data: bytes) -> DataFrame:
     return base.mapInArrow(each, schema)
 
 
-def _encode_large(base: DataFrame, key: str, text: str, data: bytes, chunk: int, margin: int) -> DataFrame:
+def _encode_large(base: DataFrame, key: str, text: str, data: bytes, chunk: int, margin: int, library: bool) -> DataFrame:
     parts = _chunks(base, key, text, chunk, margin)
     kind = parts.schema["key"].dataType.simpleString()
 
     def whole(row):
         left = row["lead"]
-        return Chunk(_coder(data), row["part"], left, min(left + chunk, len(row["part"])), row["no"] == 0, row["no"] == row["n"] - 1)
+        return Chunk(_coder(data, library), row["part"], left, min(left + chunk, len(row["part"])), row["no"] == 0, row["no"] == row["n"] - 1)
 
     def matrices(batches):
         for batch in batches:
@@ -309,7 +355,7 @@ def _encode_large(base: DataFrame, key: str, text: str, data: bytes, chunk: int,
             total = _unpack(b) if total is None else product(total, _unpack(b))
         return pa.table({"key": t.column("key")[:1], "block": t.column("block")[:1], "m": pa.array([_pack(total)], pa.binary())})
 
-    # A row of a string column holds 2 GB at most: a text has some 32,000 chunks, some 130 blocks.
+    # A row of a string column holds 2 GB at most: a text has some 65,000 chunks, some 260 blocks.
     def over_blocks(t: pa.Table) -> pa.Table:
         t = t.sort_by("block")
         ms = [_unpack(b) for b in t.column("m").to_pylist()]
