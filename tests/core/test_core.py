@@ -9,51 +9,53 @@ from twinframe.functions import sqltext as q
 from twinframe.operators import migrate, rowdiff, schemadiff
 from twinframe.plans import fixtures as fx
 from twinframe.plans import queries as core
+from twinframe.plans import sync
 from twinframe.sources import catalogs, loaders
 
 SF = "/root/testdata/sf0.01"
 TABLES = "orders customer part events conversations documents".split()
 
-# source, target, expected events; key:values
-ONE = [
-    ("1:a 2:b", "", "ADD:1 ADD:2"),
-    ("", "1:a 2:b", "DROP:1 DROP:2"),
-    ("1:a 2:b 3:c", "1:a 2:B", "MODIFY:2 ADD:3"),
-    ("1:a 2:b 3:c 4:d", "3:c 4:D", "ADD:1 ADD:2 MODIFY:4"),
-    ("1:a 2:b 3:c 4:d 5:e", "2:b 3:C 5:e", "ADD:1 MODIFY:3 ADD:4"),
-    ("2:b 4:d", "1:a 2:b 3:c 4:D", "DROP:1 DROP:3 MODIFY:4"),
-    ("1:A 2:b 3:c 4:d", "1:A 4:D", "ADD:2 ADD:3 MODIFY:4"),
-    ("1:a 3:c 5:e", "2:b 3:C 4:d", "ADD:1 DROP:2 MODIFY:3 DROP:4 ADD:5"),
-    ("9:a 10:b", "10:b", "ADD:9"),
-]
-TWO = [
-    ("1:x:y 2:x:z", "1:x:y 2:x:y", "MODIFY:2"),
-    ("1:x:y 3:a:b", "1:x:y 2:x:z", "DROP:2 ADD:3"),
-    ("1:A:B 2:C:D", "1:a:b 2:c:d", "MODIFY:1 MODIFY:2"),
-    ("1:x:y", "1:x:y", ""),
-    ("1:a:b 3:c:d", "2:x:y 3:C:d", "ADD:1 DROP:2 MODIFY:3"),
-]
-COMPOSITE = [
-    ("1:1:x:y 1:2:x:z", "1:1:x:y 1:2:x:y", "MODIFY:1:2"),
-    ("1:1:x:y 2:1:a:b", "1:1:x:y 1:2:x:z", "DROP:1:2 ADD:2:1"),
-    ("1:1:A:B 2:2:C:D", "1:1:a:b 2:2:c:d", "MODIFY:1:1 MODIFY:2:2"),
-    ("1:1:x:y", "1:1:x:y", ""),
-    ("1:1:a:b 2:2:c:d", "1:2:C:d 2:1:c:d", "ADD:1:1 DROP:1:2 DROP:2:1 ADD:2:2"),
-]
-
-
-def _rows(text, keys, values):
-    return [(*map(int, p[:keys]), *p[keys:]) for p in (r.split(":") for r in text.split())]
-
-
-@pytest.mark.parametrize("keys,values,cases", [(1, 1, ONE), (1, 2, TWO), (2, 2, COMPOSITE)])
-def test_golden_merges(spark, keys, values, cases):
-    names = ["id", "sub"][:keys] + ["a", "b"][:values]
-    schema = ", ".join(f"{n} {'int' if n in ('id', 'sub') else 'string'}" for n in names)
-    for src, tgt, expected in cases:
-        s, t = (spark.createDataFrame(_rows(x, keys, values), schema) for x in (src, tgt))
-        got = rowdiff.row_diff(s, t, names[:keys]).orderBy(*names[:keys]).collect()
-        assert " ".join(":".join([r["diff_type"], *(str(r[k]) for k in names[:keys])]) for r in got) == expected
+def _snapshot(rnd, keys, values, space, share):
+    """A dict from key to values: some of the keys of a small space, each present with a chance of `share`."""
+    every = [(x,) if keys == 1 else (x, y) for x in range(space) for y in range(1 if keys == 1 else 3)]
+    return {k: tuple(rnd.choice(["p", "q", None]) for _ in range(values)) for k in every if rnd.random() < share}
+
+
+def _model(source, target):
+    """What has to come out: kind, old and new values by key."""
+    out = {}
+    for k in source.keys() | target.keys():
+        kind = "ADD" if k not in target else "DROP" if k not in source else "MODIFY" if source[k] != target[k] else None
+        if kind:
+            out[k] = (kind, target.get(k), source.get(k))
+    return out
+
+
+@pytest.mark.parametrize("keys,values,seed", [(1, 1, 1), (1, 3, 2), (2, 2, 3), (2, 1, 4)])
+def test_row_diff_against_a_model(spark, keys, values, seed):
+    rnd = random.Random(seed)
+    ks, vs = [f"k.{i}" for i in range(keys)], [f"v{i}" for i in range(values)]
+    schema = ", ".join([f"`{k}` int" for k in ks] + [f"{v} string" for v in vs])
+    for share_s, share_t in ((0.6, 0.6), (0.9, 0.0), (0.0, 0.8), (1.0, 0.5)):
+        source, target = _snapshot(rnd, keys, values, 12, share_s), _snapshot(rnd, keys, values, 12, share_t)
+        s, t = (spark.createDataFrame([(*k, *v) for k, v in x.items()], schema) for x in (source, target))
+        value = lambda row: None if row is None else tuple(row[v] for v in vs)  # noqa: E731, B023
+        got = {tuple(r[k] for k in ks): (r["diff_type"], value(r["old"]), value(r["new"])) for r in rowdiff.row_diff(s, t, ks, unique=True).collect()}
+        assert got == _model(source, target)
+        after = rowdiff.apply_diff(t, rowdiff.row_diff(s, t, ks), ks).collect()
+        assert {tuple(r[k] for k in ks): value(r) for r in after} == source and len(after) == len(source)
+        page = rowdiff.keyset_page(s, ks, [5] * keys, 4).collect()
+        assert [tuple(r[k] for k in ks) for r in page] == sorted(k for k in source if k > (5,) * keys)[:4]
+
+
+def test_repeated_keys_and_reserved_names(spark):
+    twice = spark.createDataFrame([(1, "a"), (1, "b")], "id int, a string")
+    once = spark.createDataFrame([(1, "a")], "id int, a string")
+    assert rowdiff.row_diff(twice, once, ["id"]).count() == 1
+    with pytest.raises(rowdiff.DuplicateKeyError):
+        rowdiff.row_diff(twice, once, ["id"], unique=True)
+    with pytest.raises(ValueError, match="old"):
+        rowdiff.row_diff(once.withColumnRenamed("id", "old"), once.withColumnRenamed("id", "old"), ["old"])
 
 
 def test_nulls_missing_keys_and_types(spark):
@@ -120,43 +122,100 @@ def test_schema_script_text(spark):
     assert pg[46, "acct_pk"] == 'ALTER TABLE "acct" DROP CONSTRAINT "acct_pkey";'
 
 
-VERSIONS = [("", "", 0), ("", "1.0.0", -1), ("1.0.0", "", 1), ("1.0.0", "1.0.0", 0), ("v1.0.0", "1.0.0", 0), ("v1.0.0", "v1.0.0", 0), ("2.0.0", "1.0.0", 1), ("1.1.0", "1.0.0", 1), ("1.0.1", "1.0.0", 1), ("1.0.0.0", "1.0.0", 0), ("1.0.a", "1.0.0", 0), ("1.2.3.4", "1.2.3", 1), ("1.0.0", "2.0.0", -1), ("1", "1.0.0", 0)]
+def _numbers(version):
+    """A version as a plain list of numbers without zeros at its end; none for no version."""
+    if not version:
+        return None
+    out = [int(p) if p.isdigit() and int(p) < 2**63 else 0 for p in version.lstrip("vV").split(".")]
+    while out and out[-1] == 0:
+        out.pop()
+    return out
 
 
 def test_versions(spark):
-    df = spark.createDataFrame([(a, b) for a, b, _ in VERSIONS], "a string, b string")
-    x, y = migrate.version_key(F.col("a")), migrate.version_key(F.col("b"))
-    got = [r[0] for r in df.select(F.when(x == y, 0).when(x > y, 1).otherwise(-1)).collect()]
-    assert got == [w for *_, w in VERSIONS]
-    assert [migrate.compare(a, b) for a, b, _ in VERSIONS] == got
-
-
-def test_migrations_run_and_stop(spark, tmp_path):
-    for name, text in (("v1.0.1__a.sql", "BEGIN; one; COMMIT;"), ("v1.0.10__c.up.sql", "three"), ("v1.0.2__b.sql", "bad"), ("v1.0.2__b.down.sql", "x"), ("notes.txt", "")):
+    rnd = random.Random(8)
+    some = ["".join(rnd.choice(["", "v", "V"])) + ".".join(str(rnd.choice([0, 0, 3, 9, 10, 20231231235959, 2**40])) for _ in range(rnd.randint(1, 9))) for _ in range(40)]
+    some += ["", "v6.x.2", "6", "v6.0.2", f"v{10**30}"]
+    pairs = [(a, b) for a in some for b in rnd.sample(some, 12)]
+    got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", migrate.compare(F.col("a"), F.col("b")).alias("sign")).collect()
+    rank = lambda v: (v is not None, v or [])
+    assert all(r["sign"] == (rank(_numbers(r["a"])) > rank(_numbers(r["b"]))) - (rank(_numbers(r["a"])) < rank(_numbers(r["b"]))) for r in got)
+
+
+def test_migrations_run_log_and_stop(spark, tmp_path):
+    scripts = {"v2__one.sql": "BEGIN; one; COMMIT;", "v20240301__three.up.sql": "three", "v2.5__two.sql": "bad", "v2.5__two.down.sql": "x", "notes.txt": ""}
+    for name, text in scripts.items():
         (tmp_path / name).write_text(text)
     files = migrate.read_files(spark, str(tmp_path))
-    state = spark.createDataFrame([(1, "v1.0.0", "success")], "id int, version string, status string")
-    assert [r["version"] for r in migrate.dry_run(files, state).collect()] == ["v1.0.1", "v1.0.2", "v1.0.10"]
-    ran = []
+    state = spark.createDataFrame([(1, "v1.9", "success")], "id int, version string, status string")
+    assert [(r["version"], r["content"].strip()) for r in migrate.dry_run(files, state).collect()] == [("v2", "one;"), ("v2.5", "bad"), ("v20240301", "three")]
+    versions, ran = migrate.VersionLog(spark, "versions_of_test"), []
 
     def execute(sql):
         ran.append(sql)
-        if sql == "bad":
+        if sql in broken:
             raise RuntimeError(sql)
 
-    assert [(r[1], r[4]) for r in migrate.apply(files, state, execute)] == [("v1.0.1", "success"), ("v1.0.2", "failed")]
-    assert len(ran) == 2
+    broken = {"bad"}
+    assert [(r[1], r[5]) for r in migrate.apply(files, versions, execute)] == [("v2", "success"), ("v2.5", "failed")]
+    assert len(ran) == 2 and migrate.current_version(versions.rows()).first()[0] == "v2"
+    broken.clear()
+    migrate.apply(files, versions, execute)
+    assert migrate.apply(files, versions, execute) == []
+    logged = versions.rows().orderBy("id").collect()
+    assert [(r["id"], r["version"], r["status"]) for r in logged] == [(1, "v2", "success"), (2, "v2.5", "failed"), (3, "v2.5", "success"), (4, "v20240301", "success")]
+    assert all(r["applied_at"] and r["execution_time"] >= 0 and r["title"] for r in logged)
     with pytest.raises(PermissionError):
         migrate.reset(spark, "x")
+    spark.sql("create database if not exists to_reset")
+    spark.range(1).write.mode("overwrite").saveAsTable("to_reset.t")
+    migrate.reset(spark, "to_reset", confirm=True)
+    assert not spark.catalog.tableExists("to_reset.t")
+    spark.sql("drop database to_reset")
+
+
+def test_scripts_as_files(spark, tmp_path):
+    a = spark.createDataFrame([(1, "x"), (2, "y"), (4, "z")], "id int, name string")
+    b = spark.createDataFrame([(1, "x"), (2, "Y"), (3, "w")], "id int, name string")
+    sides = {"one": (a, b), "two": (a.where("id < 2"), a.where("id < 1")), "three": (a, b), "four": (a.union(a), b)}
+    rules = [loaders.Rule("two"), loaders.Rule("three", key=()), loaders.Rule("one", comparisonKey=("name",)), loaders.Rule("four")]
+    key_of = lambda t: [] if t == "three" else ["id"]
+    changes, skipped = sync.run(rules, lambda t: sides[t][0], lambda t: sides[t][1], key_of, q.POSTGRES)
+    assert set(skipped) == {"three", "four"}
+    sync.write_data_script(changes, str(tmp_path / "data.sql"))
+    lines = [x for f in sorted((tmp_path / "data.sql").glob("part-*")) for x in f.read_text().splitlines()]
+    assert lines == [
+        "--- diff two ",
+        'INSERT INTO "two" ("id", "name") VALUES (1, \'x\');',
+        "--- diff one ",
+        'DELETE FROM "one" WHERE "id" = 3;',
+        'INSERT INTO "one" ("id", "name") VALUES (4, \'z\');',
+        'UPDATE "one" SET "name" = \'y\' WHERE "id" = 2;',
+    ]
+    _, script = schemadiff.compare_connections(*fx.catalogs(spark), q.POSTGRES)
+    sync.write_schema_script(script, str(tmp_path / "schema.sql"))
+    text = "\n".join(f.read_text() for f in sorted((tmp_path / "schema.sql").glob("part-*")))
+    assert text.startswith("DROP VIEW") and text.rstrip().endswith("SELECT 1;")
+
+
+def test_numbers_that_are_none(spark):
+    row = spark.sql("select double('NaN') a, double('-Infinity') b, float(1.5) c")
+    one = lambda d: list(row.select(*[q.literal(d, F.col(x), k) for x, k in (("a", "double"), ("b", "double"), ("c", "float"))]).first())
+    assert one(q.POSTGRES) == ["'NaN'", "'-Infinity'", "1.5"] and one(q.MYSQL) == ["NULL", "NULL", "1.5"]
+
+
+def test_unsigned_and_defaults(spark):
+    names = "column_name string, data_type string, char_max_len int, numeric_prec int, numeric_scale int, nullable boolean, default_expr string, extra string, comment string"
+    rows = [("a", "int unsigned", None, 10, 0, True, "7", "", ""), ("b", "decimal unsigned zerofill", None, 8, 2, False, None, "", ""), ("c", "varchar", 9, None, None, True, "it's", "", ""), ("d", "datetime", None, None, None, True, "CURRENT_TIMESTAMP", "DEFAULT_GENERATED", ""), ("e", "enum", None, None, None, True, "x", "enum('x','y')", "")]
+    got = spark.createDataFrame(rows, names).select(F.struct("*").alias("c")).select(q.column_ddl(q.MYSQL, "c"))
+    assert [r[0] for r in got.collect()] == ["`a` int unsigned DEFAULT 7", "`b` decimal(8,2) unsigned zerofill NOT NULL", "`c` varchar(9) DEFAULT 'it''s'", "`d` datetime DEFAULT CURRENT_TIMESTAMP", "`e` enum('x','y') DEFAULT 'x'"]
 
 
 def test_join_helpers(spark):
-    arr = lambda xs: F.array(*map(F.lit, xs)) if xs else F.array().cast("array<string>")
-    one = lambda c: spark.range(1).select(c).first()[0]
-    assert one(q.join_wrap(arr("abc"), "'", ",")) == "'a','b','c'"
-    assert one(q.join_wrap(arr([]), "'", ",")) == ""
-    assert one(q.join_affixed(arr("12"), "[", "", "|")) == "[1|[2"
-    assert one(q.join_affixed(arr("xyz"), "{{", "}}", "::")) == "{{x}}::{{y}}::{{z}}"
+    words = ["kiwi", "fig", ""]
+    df = spark.createDataFrame([(words[:n],) for n in range(4)], "w array<string>")
+    got = df.select(q.join_wrap(F.col("w"), "~", ";"), q.join_affixed(F.col("w"), "<", ">>", " ")).collect()
+    assert [tuple(r) for r in got] == [(";".join(f"~{x}~" for x in words[:n]), " ".join(f"<{x}>>" for x in words[:n])) for n in range(4)]
 
 
 def test_settings(tmp_path):
@@ -172,7 +231,7 @@ def test_settings(tmp_path):
     assert catalogs.table_type("BASE TABLE") == "TABLE" and catalogs.table_type("x") == "UNKNOWN"
 
 
-def test_catalog_assembly(spark):
+def test_catalog_assembly(spark, tmp_path):
     raw = {
         "tables": spark.createDataFrame([("t", "BASE TABLE", "public", None), ("x", "FOREIGN", "public", None)], "table_name string, table_type string, schema_name string, comment string"),
         "columns": spark.createDataFrame([("t", "b", "int", "YES", None, "", None, None, None, None, 2), ("t", "a", "int", "NO", None, "", None, None, None, None, 1)], "table_name string, column_name string, data_type string, is_nullable string, default_expr string, extra string, comment string, char_max_len int, numeric_prec int, numeric_scale int, position int"),
@@ -187,3 +246,8 @@ def test_catalog_assembly(spark):
     assert (f["columns"], f["ref_columns"]) == (["a", "b"], ["x", "y"])
     with pytest.raises(ValueError):
         c.column_names("none")
+    spark.createDataFrame([(1, "x")], "id int, name string").write.parquet(str(tmp_path / "fruit.parquet"))
+    own = catalogs.from_folder(spark, str(tmp_path), {"fruit": ["id"]})
+    assert own.column_names("fruit") == ["id", "name"] and own.primary_key("fruit") == ["id"]
+    differ = schemadiff.schema_diff(own, catalogs.from_rows(spark)).collect()
+    assert [(r["object_type"], r["name"], r["diff_type"]) for r in differ] == [("table", "fruit", "ADD")]

@@ -103,8 +103,12 @@ def escape(d: Dialect, value: Column, legacy: bool = False) -> Column:
 
 
 def literal(d: Dialect, value: Column, kind: str, legacy: bool = False) -> Column:
-    """A SQL literal of a column of Spark type `kind`: numbers and booleans bare, binary as hex, all else quoted."""
-    if kind in ("tinyint", "smallint", "int", "bigint", "float", "double", "boolean") or kind.startswith("decimal"):
+    """A SQL literal of a column of Spark type `kind`: numbers and booleans bare, binary as hex, all else quoted. NaN and
+    the infinities are quoted in PostgreSQL, and NULL in MySQL, which has none."""
+    if kind in ("float", "double"):  # not every value is a number: quoted for PostgreSQL, none in MySQL
+        odd = F.isnan(value) | (F.abs(value) == float("inf"))
+        out = F.when(odd, cat("'", value.cast("string"), "'") if d.postgres else F.lit("NULL")).otherwise(value.cast("string"))
+    elif kind in ("tinyint", "smallint", "int", "bigint", "boolean") or kind.startswith("decimal"):
         out = value.cast("string")
     elif kind == "binary":
         out = cat("'\\x", F.lower(F.hex(value)), "'") if d.postgres else cat("0x", F.hex(value))
@@ -146,8 +150,9 @@ def update(d: Dialect, table: str, row: str, columns: list[str], key: list[str],
 
 
 def type_ddl(d: Dialect, data_type: Column, length: Column, precision: Column, scale: Column) -> Column:
-    """The DDL spelling of a type; unknown ones stay as they are."""
-    low, out = F.lower(data_type), None
+    """The DDL spelling of a type; unknown ones stay as they are. MySQL's unsigned and zerofill follow the spelling."""
+    signs = "( unsigned| zerofill)+$"
+    low, out = F.regexp_replace(F.lower(data_type), signs, ""), None
 
     def case(name: str, value) -> None:
         nonlocal out
@@ -162,7 +167,17 @@ def type_ddl(d: Dialect, data_type: Column, length: Column, precision: Column, s
         case(name, F.when(both, cat(f"{to}(", precision.cast("string"), ",", scale.cast("string"), ")")).when(precision.isNotNull(), cat(f"{to}(", precision.cast("string"), ")")).otherwise(bare))
     for name, to in d.floating.items():
         case(name, F.when(both, cat(f"{to}(", precision.cast("string"), ",", scale.cast("string"), ")")).otherwise(to))
-    return out.otherwise(data_type)
+    return out.otherwise(data_type) if d.postgres else F.concat(out.otherwise(F.regexp_replace(data_type, f"(?i){signs}", "")), F.regexp_extract(F.lower(data_type), signs, 0))
+
+
+def column_default(d: Dialect, c: str) -> Column:
+    """The default as DDL has it. MySQL's catalog gives a string's default without quotes, and marks expressions."""
+    f = lambda n: F.col(f"{c}.{n}")
+    if d.postgres:
+        return f("default_expr")
+    texts = F.lower(f("data_type")).rlike("char|text|enum|set|date|time|year|json|binary|blob")
+    ready = f("default_expr").rlike(r"(?i)^('.*'|null|current_timestamp(\([0-9]*\))?.*|\(.*\))$") | F.lower(F.coalesce(f("extra"), F.lit(""))).contains("default_generated")
+    return F.when(texts & ~ready, cat("'", escape(d, f("default_expr")), "'")).otherwise(f("default_expr"))
 
 
 def column_type(d: Dialect, c: str) -> Column:
@@ -177,10 +192,10 @@ def column_type(d: Dialect, c: str) -> Column:
 
 def column_ddl(d: Dialect, c: str) -> Column:
     f = lambda n: F.col(f"{c}.{n}")
-    parts = [ident(d, f("column_name")), column_type(d, c), F.when(~f("nullable"), "NOT NULL"), F.when(f("default_expr") != "", cat("DEFAULT ", f("default_expr")))]
+    parts = [ident(d, f("column_name")), column_type(d, c), F.when(~f("nullable"), "NOT NULL"), F.when(f("default_expr") != "", cat("DEFAULT ", column_default(d, c)))]
     if not d.postgres:
-        extra = F.lower(F.coalesce(f("extra"), F.lit("")))
-        parts.append(F.when(extra.contains("auto_increment"), "AUTO_INCREMENT").when((extra != "") & ~extra.startswith("enum(") & ~extra.startswith("set("), f("extra")))
+        extra = F.trim(F.regexp_replace(F.lower(F.coalesce(f("extra"), F.lit(""))), "default_generated", ""))
+        parts.append(F.when(extra.contains("auto_increment"), "AUTO_INCREMENT").when((extra != "") & ~extra.startswith("enum(") & ~extra.startswith("set("), F.trim(F.regexp_replace(f("extra"), "(?i)default_generated", ""))))
         parts.append(F.when(f("comment") != "", cat("COMMENT '", escape(d, f("comment")), "'")))
     return F.concat_ws(" ", *parts)
 
@@ -209,7 +224,7 @@ def alter_column(d: Dialect, table: Column, old: str, new: str) -> Column:
 def create_index(d: Dialect, table: Column, i: str) -> Column:
     f = lambda n: F.col(f"{i}.{n}")
     method = F.when(~F.coalesce(f("method"), F.lit("")).isin("", "btree"), cat(" USING ", f("method"))).otherwise("") if d.postgres else F.lit("")
-    made = cat("CREATE ", F.when(f("is_unique"), "UNIQUE ").otherwise(""), "INDEX ", ident(d, f("index_name")), " ON ", table, method, " (", ident_list(d, f("columns")), ")", F.coalesce(cat(" WHERE ", f("where_expr")), F.lit("")), ";")
+    made = cat("CREATE ", F.when(f("is_unique"), "UNIQUE ").otherwise(""), "INDEX ", ident(d, f("index_name")), " ON ", table, method, " (", F.coalesce(f("expression"), ident_list(d, f("columns"))), ")", F.coalesce(cat(" WHERE ", f("where_expr")), F.lit("")), ";")
     if d.postgres:
         return F.when(~F.coalesce(f("is_primary"), F.lit(False)), made).otherwise("")
     return F.when(F.coalesce(f("is_primary"), F.lit(False)), cat("ALTER TABLE ", table, " ADD PRIMARY KEY (", ident_list(d, f("columns")), ");")).otherwise(made)

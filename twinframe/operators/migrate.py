@@ -1,45 +1,49 @@
-"""Versioned migration files: names, order, what is pending, and a plan that touches nothing."""
+"""Versioned migration files: names, order, what is pending, a plan that touches nothing, and runs with a log."""
 
 from __future__ import annotations
 
+import datetime as dt
+import logging
 import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PATTERN = r"^([vV]?\d+(?:\.\d+)*)__([^.]+)(?:\.(up|down))?\.(sql|json)$"
-STATE = "id int not null, version string not null, title string, applied_at timestamp, execution_time int, status string"
-PARTS = 6
+log = logging.getLogger(__name__)
+
+# The grammar of a migration's file name, and the columns of the version table.
+VERSION = r"[vV]?[0-9]+(?:[.][0-9]+)*"
+TITLE = r"[^.]+"
+DIRECTIONS = ("up", "down")
+KINDS = ("sql", "json")
+STATE = "id int, version string, title string, applied_at timestamp, execution_time int, status string"
+
+_NAME = f"^({VERSION})__({TITLE})(?:[.]({'|'.join(DIRECTIONS)}))?[.]({'|'.join(KINDS)})$"
+_TRANSACTION = r"(?i)(?:begin|commit)(?:\s+transaction)?\s*;"
 
 
 def parse(files: DataFrame, path: str = "path") -> DataFrame:
     """version, title, direction and ext of each file whose base name fits; others go."""
-    base = F.regexp_extract(path, r"([^/]*)$", 1)
-    part = lambda i: F.regexp_extract(base, PATTERN, i)
-    return files.withColumns({"version": part(1), "title": part(2), "direction": part(3), "ext": part(4)}).where("version <> ''")
+    base = F.element_at(F.split(path, "/"), -1)
+    fields = {name: F.regexp_extract(base, _NAME, k) for k, name in enumerate(("version", "title", "direction", "ext"), 1)}
+    return files.withColumns(fields).where("version <> ''")
 
 
-def version_key(version: Column, parts: int = PARTS) -> Column:
-    """An array that sorts as versions do: numbers part by part, missing and non-numeric ones 0; '' (no version) first."""
-    split = F.split(F.regexp_replace(version, "^[vV]", ""), "[.]")
-    numbers = F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda i: F.coalesce(F.get(split, i).try_cast("int"), F.lit(0)))
-    return F.when(F.coalesce(version, F.lit("")) == "", F.array(*[F.lit(-1)] * parts)).otherwise(numbers)
+def version_key(version: Column) -> Column:
+    """An array that sorts and equals as versions do, whatever their numbers of parts: 0 alone for no version, else 1 and
+    the parts as numbers up to the last that is not 0. A part that is no 64-bit number is 0."""
+    text = F.regexp_replace(F.coalesce(version, F.lit("")), "^[vV]", "")
+    numbers = F.transform(F.split(text, "[.]"), lambda p: F.coalesce(F.when(p.rlike("^[+-]?[0-9]+$"), p.try_cast("bigint")), F.lit(0).cast("bigint")))
+    last = F.array_max(F.transform(numbers, lambda x, i: F.when(x != 0, i + 1).otherwise(0)))
+    some = F.concat(F.array(F.lit(1).cast("bigint")), F.slice(numbers, F.lit(1), last))
+    return F.when(F.coalesce(version, F.lit("")) == "", F.array(F.lit(0).cast("bigint"))).otherwise(some)
 
 
-def compare(a: str, b: str) -> int:
+def compare(a: Column, b: Column) -> Column:
     """-1, 0 or 1."""
-
-    def key(v: str) -> list[int]:
-        parts = v[1:].split(".") if v[:1] in "vV" and v else v.split(".")
-        return [int(p) if p.isdigit() else 0 for p in parts]
-
-    if not a or not b:
-        return (a > b) - (a < b) if a != b else 0
-    x, y = key(a), key(b)
-    n = max(len(x), len(y))
-    x, y = x + [0] * (n - len(x)), y + [0] * (n - len(y))
-    return (x > y) - (x < y)
+    x, y = version_key(a), version_key(b)
+    return F.when(x < y, -1).when(x > y, 1).otherwise(0)
 
 
 def ordered(files: DataFrame) -> DataFrame:
@@ -54,17 +58,21 @@ def current_version(state: DataFrame) -> DataFrame:
 
 def pending(files: DataFrame, current: str, target: str | None = None, only_up: bool = True) -> DataFrame:
     """Files with current < version <= target. `only_up` leaves out down files and JSON files."""
-    key = version_key(F.col("version"))
-    out = files.where(key > version_key(F.lit(current)))
+    version = F.col("version")
+    out = files.where(compare(version, F.lit(current)) > 0)
     if target:
-        out = out.where(key <= version_key(F.lit(target)))
+        out = out.where(compare(version, F.lit(target)) <= 0)
     return out.where("direction <> 'down' and ext = 'sql'") if only_up else out
 
 
+def pending_count(files: DataFrame, current: str, target: str | None = None) -> DataFrame:
+    """n: how many files are pending."""
+    return pending(files, current, target).agg(F.count(F.lit(1)).alias("n"))
+
+
 def strip_transactions(sql: Column) -> Column:
-    for p in (r"begin\s*;", r"commit\s*;", r"begin\s+transaction\s*;", r"commit\s+transaction\s*;"):
-        sql = F.regexp_replace(sql, f"(?i){p}", "")
-    return sql
+    """`sql` without the statements that begin or commit a transaction."""
+    return F.regexp_replace(sql, _TRANSACTION, "")
 
 
 def read_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -78,19 +86,42 @@ def dry_run(files: DataFrame, state: DataFrame, target: str | None = None) -> Da
     return ordered(pending(files, current_version(state).first()["version"], target)).withColumn("content", strip_transactions(F.col("content")))
 
 
-def apply(files: DataFrame, state: DataFrame, execute: Callable[[str], None], target: str | None = None) -> list[tuple]:
-    """Runs the pending files in order and returns their state rows; stops after the first that fails."""
-    last = state.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+class VersionLog:
+    """The version table, as a Parquet table of Spark's catalog."""
+
+    def __init__(self, spark: SparkSession, table: str = "schema_migrations"):
+        self.spark, self.table = spark, table
+
+    def ensure(self) -> None:
+        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {self.table} ({STATE}) USING parquet")
+
+    def rows(self) -> DataFrame:
+        return self.spark.table(self.table)
+
+    def append(self, version: str, title: str, milliseconds: int, status: str) -> tuple:
+        last = self.rows().agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+        row = (last + 1, version, title, dt.datetime.now(), milliseconds, status)
+        self.spark.createDataFrame([row], STATE).coalesce(1).write.mode("append").insertInto(self.table)
+        return row
+
+
+def apply(files: DataFrame, versions: VersionLog, execute: Callable[[str], None], target: str | None = None) -> list[tuple]:
+    """Makes sure of the version table, runs the pending files in order up to `target` (all if not given) and logs each;
+    stops after the first that fails. Returns the rows logged; none if the current version is the target already."""
+    versions.ensure()
+    current = current_version(versions.rows()).first()["version"]
+    todo = ordered(pending(files, current, target)).select("version", "title", "content").collect()  # files, few by nature
+    log.info("version %s, %d files pending", current or "none", len(todo))
     rows = []
-    for r in ordered(pending(files, current_version(state).first()["version"], target)).toLocalIterator():
-        began, error = time.perf_counter(), None
+    for r in todo:
+        began, status = time.perf_counter(), "success"
         try:
             execute(r["content"])
-        except Exception as e:  # recorded, and the run ends here
-            error = e
-        last += 1
-        rows.append((last, r["version"], r["title"], round(1000 * (time.perf_counter() - began)), "failed" if error else "success"))
-        if error:
+        except Exception:  # recorded, and the run ends here
+            log.exception("version %s failed", r["version"])
+            status = "failed"
+        rows.append(versions.append(r["version"], r["title"], round(1000 * (time.perf_counter() - began)), status))
+        if status == "failed":
             break
     return rows
 

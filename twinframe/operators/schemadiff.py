@@ -111,31 +111,45 @@ def create_tables(d: q.Dialect, cat: Catalog, names: DataFrame) -> DataFrame:
 
 def schema_script(d: q.Dialect, source: Catalog, target: Catalog, foreign_keys: bool = False, type_changes: bool = True) -> DataFrame:
     """rank, table_name, name, sql in order: views go first and come last; in between tables are added, dropped and
-    altered (columns, indexes, keys; foreign keys only if asked for)."""
+    altered (columns, indexes, keys; foreign keys only if asked for). Each kind of object is compared once, and a
+    difference gives the statements of its kind as an array."""
     t = tables_diff(source, target, type_changes)
     at = q.table_ident(d, F.col("schema_name"), F.col("table_name"))
-    row = lambda df, rank, sql, name="table_name": df.select(F.lit(rank).alias("rank"), "table_name", F.col(name).alias("name"), sql.alias("sql"))
-    is_view = F.col("table_type") == "VIEW"
-    col, idx, pk, fk, view = (objects_diff(source, target, k) for k in ("column", "index", "primary_key", "foreign_key", "view"))
-    idx = idx.where("not coalesce(new.is_primary, old.is_primary, false)") if d.postgres else idx
-    has = lambda df, *kinds: df.where(F.col("diff_type").isin(*kinds))
-    created = create_tables(d, source, t.where(~is_view & (F.col("diff_type") == "ADD")))
-    new_views = t.where(is_view & (F.col("diff_type") == "ADD")).select("table_name", "schema_name").unionByName(view.select("table_name", "schema_name"))
+    kind, name = F.col("diff_type"), F.col("name")
+
+    def rows(df: DataFrame, named: Column, *steps: tuple[int, str, Column]) -> DataFrame:
+        """steps: (rank, kinds of difference, statement)."""
+        each = [F.when(kind.isin(*kinds.split()) & (sql != ""), F.struct(F.lit(rank).alias("rank"), sql.alias("sql"))) for rank, kinds, sql in steps]
+        return df.select("table_name", named.alias("name"), F.explode(F.array_compact(F.array(*each))).alias("x")).select("x.rank", "table_name", "name", "x.sql")
+
+    index = objects_diff(source, target, "index")
+    if d.postgres:
+        index = index.where("not coalesce(new.is_primary, old.is_primary, false)")
+    views = t.where("table_type = 'VIEW'").select("table_name", "schema_name", "diff_type")
+    views = views.unionByName(objects_diff(source, target, "view").select("table_name", "schema_name", "diff_type"))
+    text = source.views.select(F.col("table_name"), F.struct("*").alias("v"))
+    tables = t.where("table_type <> 'VIEW'")
+    made = create_tables(d, source, tables.where("diff_type = 'ADD'")).withColumn("diff_type", F.lit("ADD"))
     frames = [
-        row(t.where(is_view & (F.col("diff_type") == "DROP")).select("table_name", "schema_name").unionByName(view.select("table_name", "schema_name")), 10, q.simple("DROP VIEW", at)),
-        row(t.where(~is_view & (F.col("diff_type") == "DROP")), 20, q.simple("DROP TABLE", at)),
-        row(created, 30, F.col("sql")),
-        row(has(col, "ADD"), 41, q.cat("ALTER TABLE ", at, " ADD COLUMN ", q.column_ddl(d, "new"), ";"), "name"),
-        row(has(col, "DROP"), 42, q.cat("ALTER TABLE ", at, " DROP COLUMN ", q.ident(d, F.col("name")), ";"), "name"),
-        row(has(col, "MODIFY"), 43, q.alter_column(d, at, "old", "new"), "name"),
-        row(has(idx, "DROP", "MODIFY"), 44, q.drop_index(d, F.col("schema_name"), at, F.col("name")), "name"),
-        row(has(idx, "ADD", "MODIFY"), 45, q.create_index(d, at, "new"), "name"),
-        row(has(pk, "DROP", "MODIFY"), 46, q.drop_primary_key(d, at, "old"), "name"),
-        row(has(pk, "ADD", "MODIFY"), 47, q.add_primary_key(d, at, "new"), "name"),
+        rows(views.join(text, "table_name", "left"), F.col("table_name"), (10, "DROP MODIFY", q.simple("DROP VIEW", at)), (90, "ADD MODIFY", q.create_view(d, at, "v"))),
+        rows(tables, F.col("table_name"), (20, "DROP", q.simple("DROP TABLE", at))),
+        rows(made, F.col("table_name"), (30, "ADD", F.col("sql"))),
+        rows(
+            objects_diff(source, target, "column"),
+            name,
+            (41, "ADD", q.cat("ALTER TABLE ", at, " ADD COLUMN ", q.column_ddl(d, "new"), ";")),
+            (42, "DROP", q.cat("ALTER TABLE ", at, " DROP COLUMN ", q.ident(d, name), ";")),
+            (43, "MODIFY", q.alter_column(d, at, "old", "new")),
+        ),
+        rows(index, name, (44, "DROP MODIFY", q.drop_index(d, F.col("schema_name"), at, name)), (45, "ADD MODIFY", q.create_index(d, at, "new"))),
+        rows(objects_diff(source, target, "primary_key"), name, (46, "DROP MODIFY", q.drop_primary_key(d, at, "old")), (47, "ADD MODIFY", q.add_primary_key(d, at, "new"))),
     ]
     if foreign_keys:
         word = " DROP CONSTRAINT " if d.postgres else " DROP FOREIGN KEY "
-        frames += [row(has(fk, "DROP", "MODIFY"), 40, q.cat("ALTER TABLE ", at, word, q.ident(d, F.col("name")), ";"), "name"), row(has(fk, "ADD", "MODIFY"), 48, q.cat("ALTER TABLE ", at, " ADD ", q.foreign_key_ddl(d, "new"), ";"), "name")]
-    views = new_views.join(source.views, "table_name").withColumn("v", F.struct("*"))
-    frames.append(row(views, 90, q.create_view(d, at, "v")))
-    return reduce(DataFrame.unionByName, frames).where("sql <> ''").orderBy("rank", "table_name", "name")
+        frames.append(rows(objects_diff(source, target, "foreign_key"), name, (40, "DROP MODIFY", q.cat("ALTER TABLE ", at, word, q.ident(d, name), ";")), (48, "ADD MODIFY", q.cat("ALTER TABLE ", at, " ADD ", q.foreign_key_ddl(d, "new"), ";"))))
+    return reduce(DataFrame.unionByName, frames).orderBy("rank", "table_name", "name")
+
+
+def compare_connections(source: Catalog, target: Catalog, d: q.Dialect, foreign_keys: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(the differences, the script that removes them) of two catalogs read from connections or folders."""
+    return schema_diff(source, target), schema_script(d, source, target, foreign_keys)

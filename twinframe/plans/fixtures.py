@@ -55,6 +55,7 @@ SOURCE = {
         ("acct", "ix_p", ["a"], False, False, "btree", "a > 0", None),
         ("acct", "ix_u", ["email"], True, False, "btree", None, None),
         ("acct", "ix_h", ["note"], False, False, "hash", None, None),
+        ("acct", "ix_x", ["lower(name)"], False, False, "btree", None, "(lower(name))"),
     ],
     "primary_keys": [("acct", "acct_pk", ["id", "sub"]), ("only_src", "only_src_pk", ["id"]), ("same", "same_pk", ["id"])],
     "foreign_keys": [
@@ -89,13 +90,34 @@ TARGET = {
     "views": [("v1", "SELECT 2", False, "NONE", ""), ("v2", "SELECT 3", True, "NONE", ""), ("kind", "SELECT 4", False, "NONE", "")],
 }
 KEY_COLUMNS = [("pk_x", 2, "b"), ("pk_x", 1, "a"), ("pk_y", 1, "c")]
+# One file name for each case of the grammar and the order: versions with and without a letter, of one to seven parts,
+# with leading zeros, as time stamps; directions; names that do not fit.
 FILES = [
-    "v1.0.0__create_users_table.up.sql", "v1.0.0__create_users_table.down.sql", "v1.0.0__create_users.up.json", "v1.0.0__create_users.sql", "1.0.0__create_users.up.sql",
-    "V1.0.0__create_users.up.sql", "v1.2.3.4__create_users.up.sql", "v1.0.0__create_users_table_with_index.up.sql", "invalid_file.sql", "v1.0.0__create_users.invalid.sql",
-    "v1.0.0__create_users.up.txt", "__create_users.up.sql", "v1.0.0__.up.sql", "V1.0.0__baseline.sql", *[f"V1.0.0.{n}__upgrade.sql" for n in (10, 11, 100, 101, 102, 103, 104, 105, 106, 107, 108)],
+    "v3__accounts.sql", "V3.1__add_phone.up.sql", "v3.1__add_phone.down.sql", "3.1.0__equal_to_3_1.sql", "v3.10__late.sql", "v3.2__early.sql",
+    "v20240101120000__stamp_a.sql", "v20240201120000__stamp_b.sql", "v3.2.0.0.0.0.7__deep.sql", "v3.2.0.0.0.0.8__deeper.sql", "v007__zeros.sql", "v0__zero.sql",
+    "v3.3__rows.json", "4.0__last.up.json", "4.0__last.down.sql", "v4__.sql", "v4__two.parts.sql", "v4__notes.txt", "__no_version.sql", "vv5__letters.sql", "v5_one_line.sql", "readme.sql",
 ]
-SCRIPTS = [(1, "BEGIN; x; Commit ;"), (2, "begin transaction ; y; COMMIT TRANSACTION;"), (3, "select 1;"), (4, "")]
-STATE = [(1, "v1.0.0", "success"), (2, "v1.0.0.11", "success"), (3, "v1.0.0.100", "failed")]
+CURRENT, LIMIT = "v3.2", "v20240101120000"
+SCRIPTS = [(1, "Begin ;\ninsert into a values (1);\nCOMMIT;"), (2, "start; BEGIN  TRANSACTION;drop table b;commit transaction ;"), (3, "update c set beginning = 1;"), (4, ""), (5, None)]
+STATE = [(1, "v3", "success"), (2, "v3.2", "success"), (3, "v9", "failed")]
+# Raw rows of a server's catalog, for the joins that put a catalog together.
+RAW = {
+    "constraints": (["table_name", "name", "kind"], [("acct", "pk_acct", "PRIMARY KEY"), ("org", "pk_org", "PRIMARY KEY"), ("acct", "to_org", "FOREIGN KEY"), ("acct", "uq", "UNIQUE"), ("pair", "to_org", "FOREIGN KEY")]),
+    "usage": (["table_name", "name", "column_name", "place:int", "ref_place:int"], [("acct", "pk_acct", "sub", 2, None), ("acct", "pk_acct", "id", 1, None), ("org", "pk_org", "a", 1, None), ("org", "pk_org", "b", 2, None), ("acct", "to_org", "oa", 1, 1), ("acct", "to_org", "ob", 2, 2), ("pair", "to_org", "x", 1, 2), ("pair", "to_org", "y", 2, 1), ("acct", "uq", "mail", 1, None)]),
+    "references": (["table_name", "name", "ref_table", "ref_name", "on_delete", "on_update"], [("acct", "to_org", "org", "pk_org", "CASCADE", "NO ACTION"), ("pair", "to_org", "org", "pk_org", "RESTRICT", "CASCADE")]),
+    "classes": (["oid:int", "namespace:int", "name"], [(11, 1, "acct"), (12, 1, "org"), (13, 2, "acct"), (14, 1, "pair")]),
+    "namespaces": (["oid:int", "name"], [(1, "public"), (2, "other")]),
+    "fields": (["table_name", "column_name", "place:int"], [("acct", "id", 1), ("acct", "sub", 2), ("org", "a", 1), ("gone", "z", 1)]),
+    "descriptions": (["owner:int", "place:int", "text"], [(11, 0, "accounts"), (11, 2, "part of the key"), (12, 1, "first"), (13, 1, "not this schema")]),
+}
+
+
+def raw(spark: SparkSession) -> dict[str, DataFrame]:
+    return {k: spark.createDataFrame(rows, ", ".join(f"{n} {t or 'string'}" for n, _, t in (c.partition(":") for c in names))) for k, (names, rows) in RAW.items()}
+
+
+def raw_ctes() -> str:
+    return ", ".join(f"{k}_ AS ({values(rows, [c.partition(':')[0] for c in names], ['INTEGER' if ':' in c else 'VARCHAR' for c in names])})" for k, (names, rows) in RAW.items())
 
 
 def catalogs(spark: SparkSession) -> tuple[Catalog, Catalog]:

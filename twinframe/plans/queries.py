@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import partial, reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import sqltext as q
 from ..operators import migrate, rowdiff, schemadiff
+from ..sources import catalogs as catalog_rows
 from ..sources.catalogs import ordered_columns
+from . import sync
 from . import fixtures as fx
 
 MONEY = {"o_totalprice", "c_acctbal"}
@@ -80,23 +82,25 @@ def _kinds(df: DataFrame) -> dict[str, str]:
     return {f.name: f.dataType.simpleString() for f in df.schema.fields}
 
 
-def _statements(spark: SparkSession, sf_dir: str, table: str, d: q.Dialect, what: str) -> DataFrame:
-    src, tgt, key = _pair(spark, sf_dir, table, True)
-    diff, kinds, columns = rowdiff.row_diff(src, tgt, key), _kinds(tgt), tgt.columns
-    sql = {"ADD": q.insert(d, table, "new", columns, kinds), "DROP": q.delete(d, table, "old", key, kinds), "MODIFY": q.update(d, table, "new", columns, key, kinds)}[what]
-    return diff.where(F.col("diff_type") == what).select(*key, sql.alias("sql"))
+RANK = {"DROP": 0, "ADD": 1, "MODIFY": 2}
 
 
-RANK = {"DROP": 0, "ADD": 1, "MODIFY": 2}
+def _sql_of(d: q.Dialect, table: str, tgt: DataFrame, key: list[str]) -> dict:
+    kinds, columns = _kinds(tgt), tgt.columns
+    return {"ADD": q.insert(d, table, "new", columns, kinds), "DROP": q.delete(d, table, "old", key, kinds), "MODIFY": q.update(d, table, "new", columns, key, kinds)}
+
+
+def _statements(spark: SparkSession, sf_dir: str, table: str, d: q.Dialect, what: str) -> DataFrame:
+    src, tgt, key = _pair(spark, sf_dir, table, True)
+    return rowdiff.row_diff(src, tgt, key).where(F.col("diff_type") == what).select(*key, _sql_of(d, table, tgt, key)[what].alias("sql"))
 
 
 def sync_script(spark: SparkSession, sf_dir: str, d: q.Dialect, tables: tuple[str, ...] = ("orders", "customer")) -> DataFrame:
-    """table_name, rank, k (key text), sql: the order of a script is table, rank, key."""
+    """table_name, rank, k (key text), sql: the order of a script is table, rank, key. One join a table."""
     parts = []
     for t in tables:
-        for what, rank in RANK.items():
-            s = _statements(spark, sf_dir, t, d, what)
-            parts.append(s.select(F.lit(t).alias("table_name"), F.lit(rank).alias("rank"), F.concat_ws("|", *[F.col(k).cast("string") for k in fx.CHANGES[t][0]]).alias("k"), "sql"))
+        src, tgt, key = _pair(spark, sf_dir, t, True)
+        parts.append(sync.statements(rowdiff.row_diff(src, tgt, key), t, key, _sql_of(d, t, tgt, key)))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -159,16 +163,16 @@ def _key_agg(spark: SparkSession, _: str) -> DataFrame:
     return ordered_columns(df, ["constraint_name"]).select("constraint_name", F.array_join("columns", ",").alias("columns"))
 
 
-def _comments(spark: SparkSession, _: str) -> DataFrame:
-    s, t = fx.catalogs(spark)
-    other = t.columns.select("table_name", "column_name", F.col("comment").alias("other"))
-    return s.columns.join(other, ["table_name", "column_name"], "left").select("table_name", "column_name", "comment", "other")
-
-
-def _fk_join(spark: SparkSession, _: str) -> DataFrame:
-    fk = fx.catalogs(spark)[0].foreign_keys
-    pairs = fk.select("table_name", "fk_name", F.posexplode(F.arrays_zip("columns", "ref_columns")).alias("ordinal", "p"), "ref_table")
-    return pairs.select("table_name", "fk_name", "ordinal", F.col("p.columns").alias("column_name"), "ref_table", F.col("p.ref_columns").alias("ref_column"))
+def _catalog_join(spark: SparkSession, _: str, what: str) -> DataFrame:
+    raw = fx.raw(spark)
+    ids = catalog_rows.table_ids(raw["classes"], raw["namespaces"], "public")
+    if what == "pk":
+        return catalog_rows.primary_key_columns(raw["constraints"], raw["usage"])
+    if what == "fk":
+        return catalog_rows.foreign_key_columns(raw["constraints"], raw["usage"], raw["references"])
+    if what == "table":
+        return catalog_rows.table_comments(ids, raw["descriptions"])
+    return catalog_rows.column_comments(raw["fields"], ids, raw["descriptions"])
 
 
 def _membership(spark: SparkSession, _: str) -> DataFrame:
@@ -182,7 +186,15 @@ def _files(spark: SparkSession) -> DataFrame:
 
 
 def _sorted(spark: SparkSession, _: str) -> DataFrame:
-    return _files(spark).select("path", "direction", F.array_join(F.transform(migrate.version_key(F.col("version")), lambda x: F.lpad(x.cast("string"), 6, "0")), ".").alias("sort_key"))
+    """The place of each file's version in the order; files are few."""
+    key = migrate.version_key(F.col("version"))
+    return _files(spark).select("path", "direction", F.dense_rank().over(Window.orderBy(key)).alias("place"))
+
+
+def _compared(spark: SparkSession, _: str) -> DataFrame:
+    f = _files(spark)
+    a, b = f.select(F.col("path").alias("a"), F.col("version").alias("x")), f.select(F.col("path").alias("b"), F.col("version").alias("y"))
+    return a.join(b, a["a"] < b["b"]).select("a", "b", migrate.compare(F.col("x"), F.col("y")).alias("sign"))
 
 
 def _state(spark: SparkSession) -> DataFrame:
@@ -190,7 +202,7 @@ def _state(spark: SparkSession) -> DataFrame:
 
 
 def _pending(spark: SparkSession, _: str) -> DataFrame:
-    return migrate.pending(_files(spark), "v1.0.0.11", "v1.0.0.105").select("path", "version")
+    return migrate.pending(_files(spark), fx.CURRENT, fx.LIMIT).select("path", "version")
 
 
 def _clean(spark: SparkSession, _: str) -> DataFrame:
@@ -215,12 +227,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "keyset_page_composite": partial(_page, table="conversations", after=[20, 1], columns=["conv_id", "turn", "role"]),
         "schemadiff_tables": _tables,
         "ordered_key_agg": _key_agg,
-        "catalog_left_join_comments": _comments,
-        "catalog_fk_join": _fk_join,
+        **{f"catalog_{n}": partial(_catalog_join, what=w) for n, w in (("pk_join", "pk"), ("fk_join", "fk"), ("left_join_comments", "column"), ("table_comments", "table"))},
         "index_any_membership": _membership,
         "migration_parse": lambda s, _: _files(s),
         "migration_sort": _sorted,
+        "migration_compare": _compared,
         "migration_pending": _pending,
+        "migration_pending_count": lambda s, _: migrate.pending_count(_files(s), fx.CURRENT),
         "migration_current": lambda s, _: migrate.current_version(_state(s)),
         "migration_clean_tx": _clean,
     }
@@ -329,11 +342,83 @@ def _type_sql(d: q.Dialect) -> str:
         ELSE data_type END AS ddl FROM r LEFT JOIN p ON p.n = data_type LEFT JOIN l ON l.n = data_type LEFT JOIN x ON x.n = data_type"""
 
 
+def _ddl_sql(d: q.Dialect) -> dict[str, str]:
+    """CREATE TABLE, ALTER COLUMN, indexes, keys and the whole script, put together from the catalogs' rows by SQL."""
+    pg, nl = d.postgres, "chr(10)"
+    name = lambda e: f"'{d.quote}' || {e} || '{d.quote}'"
+    names = lambda e: f"array_to_string(list_transform({e}, lambda x: '{d.quote}' || x || '{d.quote}'), ', ')"
+    kind = "CASE data_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in d.plain.items()) + f" WHEN 'varchar' THEN 'varchar(' || char_max_len || ')' WHEN 'numeric' THEN '{d.decimal['numeric'][0]}(' || numeric_prec || ',' || numeric_scale || ')' END"
+    note = "" if pg else ", CASE WHEN comment <> '' THEN 'COMMENT ''' || replace(comment, chr(10), chr(92) || 'n') || '''' END"
+    made = f"concat_ws(' ', {name('column_name')}, {kind}, CASE WHEN NOT nullable THEN 'NOT NULL' END, CASE WHEN default_expr <> '' THEN 'DEFAULT ' || default_expr END{note})"
+    using = "CASE WHEN method <> 'btree' THEN ' USING ' || method ELSE '' END" if pg else "''"
+    drop_ix = f"'DROP INDEX ' || {name('index_name')} || ';'" if pg else f"'DROP INDEX ' || {name('index_name')} || ' ON ' || {name('table_name')} || ';'"
+    drop_pk = f"' DROP CONSTRAINT ' || {name('pk_name')} || ';'" if pg else "' DROP PRIMARY KEY;'"
+    alter = f"'ALTER TABLE ' || {name('table_name')}"
+    add_pk = f"{alter} || ' ADD CONSTRAINT ' || {name('pk_name')} || ' PRIMARY KEY (' || {names('columns')} || ');'"
+    fk = f"'CONSTRAINT ' || {name('fk_name')} || ' FOREIGN KEY (' || {names('columns')} || ') REFERENCES ' || {name('ref_table')} || ' (' || {names('ref_columns')} || ')' || CASE WHEN on_delete <> '' THEN ' ON DELETE ' || on_delete ELSE '' END || CASE WHEN on_update <> '' THEN ' ON UPDATE ' || on_update ELSE '' END"
+    check = f"CASE WHEN check_option <> 'NONE' THEN {nl} || 'WITH ' || check_option || ' CHECK OPTION' ELSE '' END"
+    ctes = [fx.catalog_ctes()]
+    for x in "st":
+        ctes += [
+            f"{x}c AS (SELECT *, {kind} AS kind, {made} AS ddl FROM {x}_columns)",
+            f"{x}i AS (SELECT *, 'CREATE ' || CASE WHEN is_unique THEN 'UNIQUE ' ELSE '' END || 'INDEX ' || {name('index_name')} || ' ON ' || {name('table_name')} || {using} || ' (' || coalesce(expression, {names('columns')}) || ')' || coalesce(' WHERE ' || where_expr, '') || ';' AS create_sql, {drop_ix} AS drop_sql FROM {x}_indexes)",
+            f"{x}k AS (SELECT *, {add_pk} AS create_sql, {alter} || {drop_pk} AS drop_sql FROM {x}_primary_keys)",
+            f"{x}f AS (SELECT *, {fk} AS ddl FROM {x}_foreign_keys)",
+        ]
+    head = f"'  CONSTRAINT ' || {name('pk_name')} || ' PRIMARY KEY ('" if pg else "'  PRIMARY KEY ('"
+    comments = ""
+    if pg:
+        line = f"{nl} || {nl} || 'COMMENT ON COLUMN ' || {name('table_name')} || '.' || {name('column_name')} || ' IS ' || chr(39) || comment || chr(39) || ';'"
+        comments = f" || coalesce((SELECT string_agg({line}, '' ORDER BY position) FROM sc f WHERE f.table_name = m.table_name AND comment IS NOT NULL), '')"
+    joined = lambda order, frame: f"(SELECT string_agg('  ' || ddl, ',' || {nl} ORDER BY {order}) FROM {frame} f WHERE f.table_name = m.table_name)"
+    lines = f"concat_ws(',' || {nl}, {joined('position', 'sc')}, (SELECT {head} || {names('columns')} || ')' FROM sk f WHERE f.table_name = m.table_name), {joined('fk_name', 'sf')})"
+    tables = f"made AS (SELECT m.table_name, 'CREATE TABLE ' || {name('m.table_name')} || ' (' || {nl} || {lines} || {nl} || ');' || coalesce((SELECT string_agg({nl} || {nl} || create_sql, '' ORDER BY index_name) FROM si f WHERE f.table_name = m.table_name), ''){comments} AS sql FROM s_tables m WHERE table_type = 'TABLE')"
+    at = f"'ALTER TABLE ' || {name('s.table_name')} || ' ALTER COLUMN ' || {name('s.column_name')}"
+    if pg:
+        change = f"""concat_ws(' ', CASE WHEN s.kind IS DISTINCT FROM t.kind THEN {at} || ' TYPE ' || s.kind || CASE WHEN s.kind IN ('int2', 'int4', 'int8', 'json', 'jsonb') THEN ' USING ' || {name('s.column_name')} || '::' || s.kind ELSE '' END || ';' END,
+            CASE WHEN s.default_expr <> '' AND s.default_expr IS DISTINCT FROM t.default_expr THEN {at} || ' SET DEFAULT ' || s.default_expr || ';' WHEN coalesce(s.default_expr, '') = '' AND t.default_expr <> '' THEN {at} || ' DROP DEFAULT;' END,
+            CASE WHEN s.nullable <> t.nullable THEN {at} || CASE WHEN s.nullable THEN ' DROP' ELSE ' SET' END || ' NOT NULL;' END,
+            CASE WHEN s.comment IS DISTINCT FROM t.comment THEN 'COMMENT ON COLUMN ' || {name('s.table_name')} || '.' || {name('s.column_name')} || ' IS ' || coalesce(chr(39) || s.comment || chr(39), 'NULL') || ';' END)"""
+    else:
+        change = f"'ALTER TABLE ' || {name('s.table_name')} || ' MODIFY COLUMN ' || s.ddl || ';'"
+    delta = {k: f"d_{k} AS ({_objects_sql(k)})" for k in schemadiff.COMPARED}
+    column = f"altered AS (SELECT s.table_name, s.column_name AS name, {change} AS sql FROM sc s JOIN tc t USING (table_name, column_name) JOIN d_column x ON x.table_name = s.table_name AND x.name = s.column_name WHERE x.diff_type = 'MODIFY')"
+    lost = lambda a, b, k: f"SELECT table_name FROM {a}_tables x WHERE table_type = '{k}' AND NOT EXISTS (SELECT 1 FROM {b}_tables y WHERE y.table_name = x.table_name AND y.table_type = x.table_type)"
+    word = " DROP CONSTRAINT " if pg else " DROP FOREIGN KEY "
+    parts = [
+        f"SELECT 10, table_name, table_name, 'DROP VIEW ' || {name('table_name')} || ';' FROM ({lost('t', 's', 'VIEW')} UNION ALL SELECT table_name FROM d_view WHERE diff_type <> 'ADD')",
+        f"SELECT 20, table_name, table_name, 'DROP TABLE ' || {name('table_name')} || ';' FROM ({lost('t', 's', 'TABLE')})",
+        f"SELECT 30, table_name, table_name, sql FROM made WHERE table_name IN ({lost('s', 't', 'TABLE')})",
+        f"SELECT 40, table_name, name, {alter} || '{word}' || {name('name')} || ';' FROM d_foreign_key WHERE diff_type <> 'ADD'",
+        f"SELECT 41, x.table_name, x.name, 'ALTER TABLE ' || {name('x.table_name')} || ' ADD COLUMN ' || c.ddl || ';' FROM d_column x JOIN sc c ON c.table_name = x.table_name AND c.column_name = x.name WHERE diff_type = 'ADD'",
+        f"SELECT 42, table_name, name, {alter} || ' DROP COLUMN ' || {name('name')} || ';' FROM d_column WHERE diff_type = 'DROP'",
+        "SELECT 43, table_name, name, sql FROM altered",
+        "SELECT 44, x.table_name, x.name, i.drop_sql FROM d_index x JOIN ti i ON i.table_name = x.table_name AND i.index_name = x.name WHERE diff_type <> 'ADD'",
+        "SELECT 45, x.table_name, x.name, i.create_sql FROM d_index x JOIN si i ON i.table_name = x.table_name AND i.index_name = x.name WHERE diff_type <> 'DROP'",
+        "SELECT 46, x.table_name, x.name, k.drop_sql FROM d_primary_key x JOIN tk k USING (table_name) WHERE diff_type <> 'ADD'",
+        "SELECT 47, x.table_name, x.name, k.create_sql FROM d_primary_key x JOIN sk k USING (table_name) WHERE diff_type <> 'DROP'",
+        f"SELECT 48, x.table_name, x.name, 'ALTER TABLE ' || {name('x.table_name')} || ' ADD ' || f.ddl || ';' FROM d_foreign_key x JOIN sf f ON f.table_name = x.table_name AND f.fk_name = x.name WHERE diff_type <> 'DROP'",
+        f"SELECT 90, table_name, table_name, 'CREATE VIEW ' || {name('table_name')} || ' AS' || {nl} || select_statement || {check} || ';' FROM s_views WHERE table_name IN ({lost('s', 't', 'VIEW')} UNION ALL SELECT table_name FROM d_view WHERE diff_type <> 'DROP')",
+    ]
+    base, every = f"WITH {', '.join(ctes)}", ", ".join(delta.values())
+    return {
+        "ddl_create_table": f"{base}, {tables} SELECT table_name, sql FROM made",
+        "ddl_column": f"{base}, {delta['column']}, {column} SELECT table_name, name, sql FROM altered",
+        "ddl_index": f"{base} SELECT table_name, index_name AS name, create_sql, drop_sql FROM si",
+        "ddl_pk": f"{base} SELECT table_name, create_sql, drop_sql FROM sk",
+        "column_ddl": f"{base} SELECT table_name, column_name, ddl FROM sc",
+        "schema_script": f"{base}, {tables}, {every}, {column}, script(rank, table_name, name, sql) AS ({' UNION ALL '.join(parts)}) SELECT CAST(rank AS INTEGER) AS rank, table_name, name, sql FROM script",
+    }
+
+
 def oracles() -> dict[str, str]:
     files = fx.values([(f"/m/{f}",) for f in fx.FILES], ["path"])
-    part = lambda i: f"regexp_extract(regexp_extract(path, '[^/]*$'), '{migrate.PATTERN}', {i})"
-    parsed = f"SELECT * FROM (SELECT path, {part(1)} AS version, {part(2)} AS title, {part(3)} AS direction, {part(4)} AS ext FROM ({files})) WHERE version <> ''"
-    key = "array_to_string(list_transform([1,2,3,4,5,6], lambda i: lpad(coalesce(TRY_CAST(string_split(regexp_replace(version, '^[vV]', ''), '.')[i] AS INT), 0)::VARCHAR, 6, '0')), '.')"
+    # an own reading of names and versions: cut at the first "__" and at dots, numbers padded as text in lists of equal length
+    parsed = f"""SELECT path, version, title, CASE WHEN len(tail) = 2 THEN tail[1] ELSE '' END AS direction, tail[len(tail)] AS ext FROM (
+        SELECT path, split_part(base, '__', 1) AS version, split_part(substr(base, strpos(base, '__') + 2), '.', 1) AS title, string_split(substr(base, strpos(base, '__') + 2), '.')[2:] AS tail
+        FROM (SELECT path, substr(path, 4) AS base FROM ({files}))
+        WHERE strpos(base, '__') > 0) WHERE regexp_full_match(version, '[vV]?[0-9][0-9.]*') AND title <> '' AND len(tail) IN (1, 2) AND tail[len(tail)] IN ('sql', 'json') AND (len(tail) = 1 OR tail[1] IN ('up', 'down'))"""
+    key = lambda v: f"array_to_string(list_transform(list_resize(string_split(ltrim(lower({v}), 'v'), '.'), 9, '0'), lambda x: lpad(x, 30, '0')), '.')"
     counts = " UNION ALL ".join(f"SELECT '{t}' AS table_name, diff_type, count(*) AS n FROM ({_join_sql(t)} SELECT diff_type FROM j WHERE diff_type IS NOT NULL) GROUP BY diff_type" for t in ("orders", "customer", "part", "events"))
     changed = "concat_ws(',', " + ", ".join(f"CASE WHEN old_{c} IS DISTINCT FROM new_{c} THEN '{c}' END" for c in fx.CHANGES["orders"][1]) + ")"
     part_cols = ", ".join(fx.CHANGES["part"][1])
@@ -354,14 +439,18 @@ def oracles() -> dict[str, str]:
         "keyset_page_composite": "SELECT conv_id, turn, role FROM conversations WHERE (conv_id, turn) > (20, 1) ORDER BY conv_id, turn LIMIT 1000",
         "schemadiff_tables": f"WITH {fx.catalog_ctes()} SELECT table_name, table_type, 'ADD' AS diff_type FROM s_tables s WHERE NOT EXISTS (SELECT 1 FROM t_tables t WHERE t.table_name = s.table_name AND t.table_type = s.table_type) UNION ALL SELECT table_name, table_type, 'DROP' FROM t_tables t WHERE NOT EXISTS (SELECT 1 FROM s_tables s WHERE t.table_name = s.table_name AND t.table_type = s.table_type)",
         "ordered_key_agg": f"SELECT constraint_name, string_agg(c, ',' ORDER BY o) AS columns FROM ({fx.values(fx.KEY_COLUMNS, ['constraint_name', 'o', 'c'])}) GROUP BY constraint_name",
-        "catalog_left_join_comments": f"WITH {fx.catalog_ctes()} SELECT s.table_name, s.column_name, s.comment, t.comment AS other FROM s_columns s LEFT JOIN t_columns t ON s.table_name = t.table_name AND s.column_name = t.column_name",
-        "catalog_fk_join": f"WITH {fx.catalog_ctes()}, u AS (SELECT *, unnest(generate_series(1, len(columns)))::INT AS o FROM s_foreign_keys) SELECT table_name, fk_name, (o - 1)::INT AS ordinal, columns[o] AS column_name, ref_table, ref_columns[o] AS ref_column FROM u",
+        "catalog_left_join_comments": f"WITH {fx.raw_ctes()}, i AS (SELECT c.oid, c.name FROM classes_ c, namespaces_ n WHERE n.oid = c.namespace AND n.name = 'public') SELECT f.table_name, f.column_name, f.place, d.text AS comment FROM fields_ f LEFT JOIN i ON i.name = f.table_name LEFT JOIN descriptions_ d ON d.owner = i.oid AND d.place = f.place",
+        "catalog_table_comments": f"WITH {fx.raw_ctes()} SELECT c.name AS table_name, (SELECT text FROM descriptions_ WHERE owner = c.oid AND place = 0) AS comment FROM classes_ c WHERE c.namespace IN (SELECT oid FROM namespaces_ WHERE name = 'public')",
+        "catalog_pk_join": f"WITH {fx.raw_ctes()} SELECT u.table_name, u.name AS pk_name, u.column_name, u.place FROM usage_ u WHERE EXISTS (SELECT 1 FROM constraints_ c WHERE c.kind = 'PRIMARY KEY' AND c.name = u.name AND c.table_name = u.table_name)",
+        "catalog_fk_join": f"WITH {fx.raw_ctes()} SELECT u.table_name, u.name AS fk_name, u.place, u.column_name, r.ref_table, (SELECT column_name FROM usage_ k WHERE k.table_name = r.ref_table AND k.name = r.ref_name AND k.place = u.ref_place) AS ref_column, r.on_delete, r.on_update FROM usage_ u, constraints_ c, references_ r WHERE c.kind = 'FOREIGN KEY' AND (c.table_name, c.name) = (u.table_name, u.name) AND (r.table_name, r.name) = (u.table_name, u.name)",
         "index_any_membership": f"WITH {fx.catalog_ctes()}, u AS (SELECT *, unnest(generate_series(1, len(columns)))::INT AS o FROM s_indexes) SELECT u.table_name, index_name, (o - 1)::INT AS ordinal, u.columns[o] AS column_name, c.data_type FROM u LEFT JOIN s_columns c ON c.table_name = u.table_name AND c.column_name = u.columns[o]",
         "migration_parse": parsed,
-        "migration_sort": f"SELECT path, direction, {key} AS sort_key FROM ({parsed})",
-        "migration_pending": f"SELECT path, version FROM ({parsed}) WHERE {key} > '000001.000000.000000.000011.000000.000000' AND {key} <= '000001.000000.000000.000105.000000.000000' AND direction <> 'down' AND ext = 'sql'",
+        "migration_sort": f"SELECT path, direction, CAST(dense_rank() OVER (ORDER BY {key('version')}) AS INTEGER) AS place FROM ({parsed})",
+        "migration_compare": f"WITH p AS ({parsed}) SELECT a.path AS a, b.path AS b, CASE WHEN {key('a.version')} < {key('b.version')} THEN -1 WHEN {key('a.version')} = {key('b.version')} THEN 0 ELSE 1 END AS sign FROM p a JOIN p b ON a.path < b.path",
+        "migration_pending": f"SELECT path, version FROM ({parsed}) WHERE {key('version')} > {key(chr(39) + fx.CURRENT + chr(39))} AND {key('version')} <= {key(chr(39) + fx.LIMIT + chr(39))} AND direction <> 'down' AND ext = 'sql'",
+        "migration_pending_count": f"SELECT count(*) AS n FROM ({parsed}) WHERE {key('version')} > {key(chr(39) + fx.CURRENT + chr(39))} AND direction IN ('', 'up') AND ext = 'sql'",
         "migration_current": f"SELECT coalesce(max_by(version, id), '') AS version FROM ({fx.values(fx.STATE, ['id', 'version', 'status'])}) WHERE status = 'success'",
-        "migration_clean_tx": "SELECT id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(sql, '(?i)begin\\s*;', '', 'g'), '(?i)commit\\s*;', '', 'g'), '(?i)begin\\s+transaction\\s*;', '', 'g'), '(?i)commit\\s+transaction\\s*;', '', 'g') AS sql FROM (" + fx.values(fx.SCRIPTS, ["id", "sql"]) + ")",
+        "migration_clean_tx": fx.values([(1, "\ninsert into a values (1);\n"), (2, "start; drop table b;"), (3, "update c set beginning = 1;"), (4, ""), (5, None)], ["id", "sql"], ["INTEGER", "VARCHAR"]),
     }
     for short, d in (("pg", q.POSTGRES), ("mysql", q.MYSQL)):
         for name, what in (("insert", "ADD"), ("delete", "DROP"), ("update", "MODIFY")):
@@ -372,14 +461,9 @@ def oracles() -> dict[str, str]:
         out[f"type_map_{short}"] = _type_sql(d)
     for kind, name in (("column", "columns"), ("index", "indexes"), ("primary_key", "pk"), ("foreign_key", "fk"), ("view", "views")):
         out[f"schemadiff_{name}"] = _objects_sql(kind)
-    at, quoted = "'\"' || table_name || '\"'", "list_transform(columns, lambda x: '\"' || x || '\"')"
-    out["ddl_index_pg"] = f"WITH {fx.catalog_ctes()} SELECT table_name, index_name AS name, 'CREATE ' || CASE WHEN is_unique THEN 'UNIQUE ' ELSE '' END || 'INDEX \"' || index_name || '\" ON ' || {at} || CASE WHEN method <> 'btree' THEN ' USING ' || method ELSE '' END || ' (' || array_to_string({quoted}, ', ') || ')' || coalesce(' WHERE ' || where_expr, '') || ';' AS create_sql, 'DROP INDEX \"' || index_name || '\";' AS drop_sql FROM s_indexes"
-    out["ddl_pk_pg"] = f"WITH {fx.catalog_ctes()} SELECT table_name, 'ALTER TABLE ' || {at} || ' ADD CONSTRAINT \"' || pk_name || '\" PRIMARY KEY (' || array_to_string({quoted}, ', ') || ');' AS create_sql, 'ALTER TABLE ' || {at} || ' DROP CONSTRAINT \"' || pk_name || '\";' AS drop_sql FROM s_primary_keys"
+    at = "'\"' || table_name || '\"'"
     out["ddl_view_pg"] = f"WITH {fx.catalog_ctes()} SELECT table_name, 'CREATE VIEW ' || {at} || ' AS' || chr(10) || select_statement || CASE WHEN check_option <> 'NONE' THEN chr(10) || 'WITH ' || check_option || ' CHECK OPTION' ELSE '' END || ';' AS create_sql, 'DROP VIEW ' || {at} || ';' AS drop_sql FROM s_views"
     tick = lambda s: s.replace('"', "`")
-    out["ddl_view_mysql"] = tick(out["ddl_view_pg"])
     for short, d in (("pg", q.POSTGRES), ("mysql", q.MYSQL)):
-        kinds = "CASE data_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in d.plain.items()) + f" WHEN 'varchar' THEN 'varchar(' || char_max_len || ')' WHEN 'numeric' THEN '{d.decimal['numeric'][0]}(' || numeric_prec || ',' || numeric_scale || ')' END"
-        comment = "" if d.postgres else ", CASE WHEN comment <> '' THEN 'COMMENT ''' || replace(comment, chr(10), chr(92) || 'n') || '''' END"
-        out[f"column_ddl_{short}"] = f"WITH {fx.catalog_ctes()} SELECT table_name, column_name, concat_ws(' ', '{d.quote}' || column_name || '{d.quote}', {kinds}, CASE WHEN NOT nullable THEN 'NOT NULL' END, CASE WHEN default_expr <> '' THEN 'DEFAULT ' || default_expr END{comment}) AS ddl FROM s_columns"
+        out |= {f"{k}_{short}": v for k, v in _ddl_sql(d).items()}
     return out

@@ -64,15 +64,15 @@ _POSTGRES = {
     "tables": "SELECT t.table_name, t.table_type, t.table_schema AS schema_name, obj_description(c.oid, 'pg_class') AS comment FROM information_schema.tables t JOIN pg_namespace n ON n.nspname = t.table_schema JOIN pg_class c ON c.relname = t.table_name AND c.relnamespace = n.oid WHERE t.table_schema = '{schema}'",
     "columns": "SELECT k.table_name, k.column_name, k.data_type, k.is_nullable, k.column_default AS default_expr, '' AS extra, col_description(c.oid, k.ordinal_position) AS comment, k.character_maximum_length AS char_max_len, k.numeric_precision AS numeric_prec, k.numeric_scale, k.ordinal_position AS position FROM information_schema.columns k JOIN pg_namespace n ON n.nspname = k.table_schema JOIN pg_class c ON c.relname = k.table_name AND c.relnamespace = n.oid WHERE k.table_schema = '{schema}'",
     "primary_keys": "SELECT k.table_name, k.constraint_name, k.column_name, k.ordinal_position FROM information_schema.table_constraints c JOIN information_schema.key_column_usage k ON k.constraint_schema = c.constraint_schema AND k.constraint_name = c.constraint_name AND k.table_name = c.table_name WHERE c.constraint_type = 'PRIMARY KEY' AND c.table_schema = '{schema}'",
-    "indexes": "SELECT t.relname AS table_name, i.relname AS index_name, a.attname AS column_name, array_position(x.indkey::int2[], a.attnum) AS ordinal_position, x.indisunique AS is_unique, x.indisprimary AS is_primary, m.amname AS method, pg_get_expr(x.indpred, x.indrelid) AS where_expr FROM pg_index x JOIN pg_class t ON t.oid = x.indrelid JOIN pg_class i ON i.oid = x.indexrelid JOIN pg_am m ON m.oid = i.relam JOIN pg_namespace n ON n.oid = t.relnamespace JOIN pg_attribute a ON a.attrelid = t.oid AND a.attnum = ANY(x.indkey) WHERE n.nspname = '{schema}' AND NOT x.indisprimary",
-    "foreign_keys": "SELECT k.table_name, k.constraint_name AS fk_name, k.column_name, k.ordinal_position, u.table_schema AS ref_schema, u.table_name AS ref_table, u.column_name AS ref_column, r.delete_rule AS on_delete, r.update_rule AS on_update FROM information_schema.referential_constraints r JOIN information_schema.key_column_usage k ON k.constraint_schema = r.constraint_schema AND k.constraint_name = r.constraint_name JOIN information_schema.key_column_usage u ON u.constraint_schema = r.unique_constraint_schema AND u.constraint_name = r.unique_constraint_name AND u.ordinal_position = k.position_in_unique_constraint WHERE k.table_schema = '{schema}'",
+    "indexes": "SELECT own.relname AS table_name, made.relname AS index_name, coalesce(field.attname, pg_get_indexdef(x.indexrelid, part.place::int, true)) AS column_name, CASE WHEN part.attribute = 0 THEN pg_get_indexdef(x.indexrelid, part.place::int, true) END AS expression, part.place AS ordinal_position, x.indisunique AS is_unique, x.indisprimary AS is_primary, (SELECT amname FROM pg_am WHERE oid = made.relam) AS method, pg_get_expr(x.indpred, x.indrelid) AS where_expr FROM pg_index x, LATERAL unnest(x.indkey) WITH ORDINALITY AS part(attribute, place) LEFT JOIN LATERAL (SELECT attname FROM pg_attribute WHERE attrelid = x.indrelid AND attnum = part.attribute AND part.attribute <> 0) field ON TRUE, pg_class own, pg_class made WHERE own.oid = x.indrelid AND made.oid = x.indexrelid AND part.place <= x.indnkeyatts AND NOT x.indisprimary AND own.relnamespace = (SELECT oid FROM pg_namespace WHERE nspname = '{schema}')",
+    "foreign_keys": "SELECT (SELECT relname FROM pg_class WHERE oid = c.conrelid) AS table_name, c.conname AS fk_name, mine.attname AS column_name, part.place AS ordinal_position, n.nspname AS ref_schema, other.relname AS ref_table, theirs.attname AS ref_column, CASE c.confdeltype WHEN 'c' THEN 'CASCADE' WHEN 'r' THEN 'RESTRICT' WHEN 'n' THEN 'SET NULL' WHEN 'd' THEN 'SET DEFAULT' ELSE 'NO ACTION' END AS on_delete, CASE c.confupdtype WHEN 'c' THEN 'CASCADE' WHEN 'r' THEN 'RESTRICT' WHEN 'n' THEN 'SET NULL' WHEN 'd' THEN 'SET DEFAULT' ELSE 'NO ACTION' END AS on_update FROM pg_constraint c, LATERAL unnest(c.conkey, c.confkey) WITH ORDINALITY AS part(mine, theirs, place), pg_attribute mine, pg_attribute theirs, pg_class other, pg_namespace n WHERE c.contype = 'f' AND mine.attrelid = c.conrelid AND mine.attnum = part.mine AND theirs.attrelid = c.confrelid AND theirs.attnum = part.theirs AND other.oid = c.confrelid AND n.oid = other.relnamespace AND c.connamespace = (SELECT oid FROM pg_namespace WHERE nspname = '{schema}')",
     "views": "SELECT table_name, view_definition AS select_statement, is_updatable, check_option, '' AS comment FROM information_schema.views WHERE table_schema = '{schema}'",
 }
 _MYSQL = {
     "tables": "SELECT table_name AS table_name, table_type AS table_type, table_schema AS schema_name, table_comment AS comment FROM information_schema.tables WHERE table_schema = '{schema}'",
-    "columns": "SELECT table_name AS table_name, column_name AS column_name, data_type AS data_type, is_nullable AS is_nullable, column_default AS default_expr, CASE WHEN data_type IN ('enum', 'set') THEN column_type ELSE extra END AS extra, column_comment AS comment, character_maximum_length AS char_max_len, numeric_precision AS numeric_prec, numeric_scale AS numeric_scale, ordinal_position AS position FROM information_schema.columns WHERE table_schema = '{schema}'",
+    "columns": "SELECT table_name AS table_name, column_name AS column_name, concat(data_type, CASE WHEN column_type LIKE '% unsigned%' THEN ' unsigned' ELSE '' END, CASE WHEN column_type LIKE '% zerofill%' THEN ' zerofill' ELSE '' END) AS data_type, is_nullable AS is_nullable, column_default AS default_expr, CASE WHEN data_type IN ('enum', 'set') THEN column_type ELSE extra END AS extra, column_comment AS comment, character_maximum_length AS char_max_len, numeric_precision AS numeric_prec, numeric_scale AS numeric_scale, ordinal_position AS position FROM information_schema.columns WHERE table_schema = '{schema}'",
     "primary_keys": "SELECT table_name AS table_name, constraint_name AS constraint_name, column_name AS column_name, ordinal_position AS ordinal_position FROM information_schema.key_column_usage WHERE constraint_name = 'PRIMARY' AND table_schema = '{schema}'",
-    "indexes": "SELECT table_name AS table_name, index_name AS index_name, column_name AS column_name, seq_in_index AS ordinal_position, non_unique = 0 AS is_unique, FALSE AS is_primary, lower(index_type) AS method, NULL AS where_expr FROM information_schema.statistics WHERE index_name <> 'PRIMARY' AND table_schema = '{schema}'",
+    "indexes": "SELECT table_name AS table_name, index_name AS index_name, coalesce(column_name, expression) AS column_name, expression AS expression, seq_in_index AS ordinal_position, non_unique = 0 AS is_unique, FALSE AS is_primary, lower(index_type) AS method, NULL AS where_expr FROM information_schema.statistics WHERE index_name <> 'PRIMARY' AND table_schema = '{schema}'",
     "foreign_keys": "SELECT k.table_name AS table_name, k.constraint_name AS fk_name, k.column_name AS column_name, k.ordinal_position AS ordinal_position, k.referenced_table_schema AS ref_schema, k.referenced_table_name AS ref_table, k.referenced_column_name AS ref_column, r.delete_rule AS on_delete, r.update_rule AS on_update FROM information_schema.key_column_usage k JOIN information_schema.referential_constraints r ON r.constraint_schema = k.constraint_schema AND r.constraint_name = k.constraint_name AND r.table_name = k.table_name WHERE k.referenced_table_name IS NOT NULL AND k.table_schema = '{schema}'",
     "views": "SELECT table_name AS table_name, view_definition AS select_statement, is_updatable AS is_updatable, check_option AS check_option, '' AS comment FROM information_schema.views WHERE table_schema = '{schema}'",
 }
@@ -85,13 +85,16 @@ def queries_for(kind: str, schema: str) -> dict[str, str]:
     return {k: v.format(schema=schema.replace("'", "''")) for k, v in found.items()}
 
 
-def assemble(raw: dict[str, DataFrame]) -> Catalog:
+def assemble(raw: dict[str, DataFrame], quote: str = '"') -> Catalog:
     """A catalog from the rows that the queries above return (one row for each column of a key or index)."""
     kind = F.upper(F.col("table_type"))
     tables = raw["tables"].withColumn("table_type", F.when(kind.isin("TABLE", "BASE TABLE"), "TABLE").when(kind.isin("VIEW", "MATERIALIZED VIEW"), "VIEW").otherwise("UNKNOWN")).where("table_type <> 'UNKNOWN'")
     columns = raw["columns"].withColumn("nullable", F.upper("is_nullable") == "YES")
     pks = ordered_columns(raw["primary_keys"], ["table_name", "constraint_name"]).withColumnRenamed("constraint_name", "pk_name")
-    ix = ordered_columns(raw["indexes"], ["table_name", "index_name", "is_unique", "is_primary", "method", "where_expr"]).withColumn("expression", F.lit(None).cast("string"))
+    by = ["table_name", "index_name", "is_unique", "is_primary", "method", "where_expr"]
+    parts = raw["indexes"] if "expression" in raw["indexes"].columns else raw["indexes"].withColumn("expression", F.lit(None).cast("string"))
+    quoted = F.transform(F.sort_array(F.collect_list(F.struct("ordinal_position", "column_name", "expression"))), lambda y: F.coalesce(F.concat(F.lit("("), y["expression"], F.lit(")")), F.concat(F.lit(quote), y["column_name"], F.lit(quote))))
+    ix = ordered_columns(parts, by).drop("expression").join(parts.groupBy(*by).agg(F.when(F.count("expression") > 0, F.array_join(quoted, ", ")).alias("expression")).select("table_name", "index_name", "expression"), ["table_name", "index_name"])
     fk = ["table_name", "fk_name", "ref_schema", "ref_table", "on_delete", "on_update"]
     x = F.sort_array(F.collect_list(F.struct("ordinal_position", "column_name", "ref_column")))
     fks = raw["foreign_keys"].groupBy(*fk).agg(F.transform(x, lambda y: y["column_name"]).alias("columns"), F.transform(x, lambda y: y["ref_column"]).alias("ref_columns"))
@@ -101,4 +104,48 @@ def assemble(raw: dict[str, DataFrame]) -> Catalog:
 
 
 def from_jdbc(spark: SparkSession, kind: str, schema: str, options: dict[str, str]) -> Catalog:
-    return assemble({k: spark.read.format("jdbc").options(**options).option("query", sql).load() for k, sql in queries_for(kind, schema).items()})
+    return assemble({k: spark.read.format("jdbc").options(**options).option("query", sql).load() for k, sql in queries_for(kind, schema).items()}, "`" if kind == "mysql" else '"')
+
+
+# ---- the joins of a catalog, over a server's raw rows ----
+
+
+def primary_key_columns(constraints: DataFrame, usage: DataFrame) -> DataFrame:
+    """table_name, pk_name, column_name, place: constraints met with the columns they use, in one table."""
+    keys = constraints.where("kind = 'PRIMARY KEY'").select("table_name", "name")
+    return keys.join(usage, ["table_name", "name"]).select("table_name", F.col("name").alias("pk_name"), "column_name", "place")
+
+
+def foreign_key_columns(constraints: DataFrame, usage: DataFrame, references: DataFrame) -> DataFrame:
+    """table_name, fk_name, place, column_name, ref_table, ref_column, on_delete, on_update: four sets of rows met by
+    table and name, and the referenced column by the place that it has in its own key."""
+    mine = constraints.where("kind = 'FOREIGN KEY'").select("table_name", "name").join(usage, ["table_name", "name"]).join(references, ["table_name", "name"])
+    theirs = usage.select(F.col("table_name").alias("ref_table"), F.col("name").alias("ref_name"), F.col("place").alias("ref_place"), F.col("column_name").alias("ref_column"))
+    both = mine.join(theirs, ["ref_table", "ref_name", "ref_place"])
+    return both.select("table_name", F.col("name").alias("fk_name"), "place", "column_name", "ref_table", "ref_column", "on_delete", "on_update")
+
+
+def table_ids(classes: DataFrame, namespaces: DataFrame, schema: str) -> DataFrame:
+    """owner, table_name of the tables of one schema."""
+    own = namespaces.where(F.col("name") == schema).select(F.col("oid").alias("namespace"))
+    return classes.join(own, "namespace").select(F.col("oid").alias("owner"), F.col("name").alias("table_name"))
+
+
+def table_comments(ids: DataFrame, descriptions: DataFrame) -> DataFrame:
+    """table_name, comment (null where there is none)."""
+    notes = descriptions.where("place = 0").select("owner", F.col("text").alias("comment"))
+    return ids.join(notes, "owner", "left").select("table_name", "comment")
+
+
+def column_comments(fields: DataFrame, ids: DataFrame, descriptions: DataFrame) -> DataFrame:
+    """table_name, column_name, place, comment: every column stays, whether its table has an id or it a comment."""
+    notes = descriptions.select("owner", "place", F.col("text").alias("comment"))
+    return fields.join(ids, "table_name", "left").join(notes, ["owner", "place"], "left").select("table_name", "column_name", "place", "comment")
+
+
+def from_folder(spark: SparkSession, folder: str, keys: dict[str, list[str]] | None = None) -> Catalog:
+    """The catalog of a folder of Parquet tables; a server's keys come from its catalog, a folder's from the caller."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    names = sorted(n.removesuffix(".parquet") for n in (f.getPath().getName() for f in found) if n.endswith(".parquet"))
+    return from_frames(spark, {n: spark.read.parquet(f"{folder}/{n}.parquet") for n in names}, {k: v for k, v in (keys or {}).items() if k in names})
