@@ -4,8 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
+HELD = 100_000  # rows of a catalog's frame that are held
 
 SCHEMAS = {
     "tables": "table_name string, table_type string, schema_name string, comment string",
@@ -43,8 +48,27 @@ def table_type(text: str) -> str:
     return "TABLE" if t in ("TABLE", "BASE TABLE") else "VIEW" if t in ("VIEW", "MATERIALIZED VIEW") else "UNKNOWN"
 
 
+def _local(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """Rows as a relation of the plan itself, so that its size is known and small ones are broadcast."""
+    kind = StructType.fromDDL(schema)
+    arrow = to_arrow_schema(kind)
+    columns = list(zip(*rows)) if rows else [()] * len(kind)
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow), kind)
+
+
 def from_rows(spark: SparkSession, **rows: list[tuple]) -> Catalog:
-    return Catalog(**{k: spark.createDataFrame(rows.get(k, []), s) for k, s in SCHEMAS.items()})
+    return Catalog(**{k: _local(spark, rows.get(k, []), s) for k, s in SCHEMAS.items()})
+
+
+def held(spark: SparkSession, catalog: Catalog) -> Catalog:
+    """The catalog read once: its frames are used many times, and a server's are queried anew each time. A frame of more
+    than HELD rows stays as it is."""
+    out = {}
+    for name, schema in SCHEMAS.items():
+        frame = getattr(catalog, name)
+        few = frame.limit(HELD + 1).collect()
+        out[name] = _local(spark, [tuple(r) for r in few], schema) if len(few) <= HELD else frame
+    return Catalog(**out)
 
 
 def from_frames(spark: SparkSession, frames: dict[str, DataFrame], keys: dict[str, list[str]], schema: str = "public") -> Catalog:
@@ -104,7 +128,7 @@ def assemble(raw: dict[str, DataFrame], quote: str = '"') -> Catalog:
 
 
 def from_jdbc(spark: SparkSession, kind: str, schema: str, options: dict[str, str]) -> Catalog:
-    return assemble({k: spark.read.format("jdbc").options(**options).option("query", sql).load() for k, sql in queries_for(kind, schema).items()}, "`" if kind == "mysql" else '"')
+    return held(spark, assemble({k: spark.read.format("jdbc").options(**options).option("query", sql).load() for k, sql in queries_for(kind, schema).items()}, "`" if kind == "mysql" else '"'))
 
 
 # ---- the joins of a catalog, over a server's raw rows ----
