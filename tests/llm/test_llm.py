@@ -142,6 +142,51 @@ def test_items_without_their_rarest_words_are_found(spark):
     assert [(r["doc_id"], r["item_id"]) for r in got.collect()] == [(200, 1)]
 
 
+def test_paraphrases_and_slices(spark, docs):
+    """Items between other words, with three in ten words replaced and others put in; and the same items in several slices."""
+    rnd = random.Random(4)
+    benchmark = spark.read.parquet(f"{SF}/benchmark.parquet")
+    pool = [f"w{rnd.randrange(900)}" for _ in range(5000)]
+    rows = []
+    for r in benchmark.collect():
+        own = [rnd.choice(pool) if rnd.random() < 0.3 else w for w in decontaminate.words_of(r["text"])]
+        own = [x for w in own for x in ([w, rnd.choice(pool)] if rnd.random() < 0.1 else [w])]
+        rows.append((1000 + r["item_id"], " ".join(rnd.choices(pool, k=70) + own + rnd.choices(pool, k=70))))
+    clean = [(5000 + k, " ".join(rnd.choices(pool, k=300))) for k in range(200)]
+    every = docs.select("doc_id", "text").unionByName(spark.createDataFrame(rows + clean, "doc_id bigint, text string"))
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(every, benchmark).collect()}
+    assert sum((d, d - 1000) in found for d, _ in rows) >= 0.9 * len(rows)
+    assert all(d < 5000 and (d < 1000 or d - 1000 == i) for d, i in found)
+    cut = decontaminate.Settings(max_items=9)
+    parts = {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(every, benchmark, settings=cut).collect()}
+    assert len(parts ^ found) <= 0.05 * len(found)  # each slice has a latent space of its own
+    n = {r["doc_id"]: r["n_items"] for r in decontaminate.mark(every.withColumn("N_items", F.lit("x")), benchmark, settings=cut).collect()}
+    assert all(n[d] == sum(x == d for x, _ in parts) for d in n)
+    twice = benchmark.unionByName(benchmark.withColumn("item_id", F.lit(None).cast("bigint")))
+    assert {(d, i) for d, i in found} <= {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(every, twice).collect()}
+
+
+def test_sharing_pairs_against_counting():
+    """The pairs that the list of items gives, against all pairs of passages and items."""
+    rnd = random.Random(6)
+    items = [(k, [f"t{rnd.randrange(60)}" for _ in range(rnd.choice([1, 5, 30, 130]))], [], None) for k in range(25)]
+    vocabulary = {w: i for i, w in enumerate(sorted({w for _, own, *_ in items for w in own}))}
+    index = decontaminate.Index(decontaminate.Settings(), vocabulary, np.ones(len(vocabulary)), np.eye(len(vocabulary), 8), items)
+    texts = [[f"t{rnd.randrange(90)}" if rnd.random() < 0.3 else "other" for _ in range(rnd.choice([0, 3, 40, 200]))] for _ in range(12)]
+    segments = [-(-len(w) // 16) for w in texts]
+    first = np.concatenate([[0], np.cumsum(segments)]).astype(int)
+    at = [(vocabulary[w], first[k] + j // 16) for k, own in enumerate(texts) for j, w in enumerate(own) if w in vocabulary]
+    doc_of = np.repeat(np.arange(len(texts)), segments)
+    got = set(zip(*map(list, index._sharing(np.array([i for i, _ in at]), np.array([p for _, p in at]), doc_of))))
+    terms_of = [set(vocabulary[w] for w in own[a : a + 48]) for _, own, *_ in items for a in range(0, max(1, len(own) - 24), 48)]
+    want = set()
+    for k, own in enumerate(texts):
+        for p in range(segments[k]):
+            held = [vocabulary[w] for w in own[16 * p : 16 * p + 48] if w in vocabulary]
+            want |= {(first[k] + p, c) for c, own_terms in enumerate(terms_of) if sum(h in own_terms for h in held) >= min(2, len(own_terms))}
+    assert got == want
+
+
 def test_quality(spark, odd):
     got = {r["doc_id"]: r for r in quality.judge(odd).collect()}
     assert (got[1]["n_words"], got[1]["base_failed"], got[1]["kept"]) == (0, True, False) and got[7]["n_repeat_words"] == 20000

@@ -3,18 +3,23 @@
 Benchmark items and document passages become TF-IDF vectors over the benchmark's words (a word that no item has can't
 raise a passage's likeness to one). A randomised SVD, computed by tasks over a passage sample and all items, gives a
 latent space of `rank` dimensions. Every document is cut into segments of `segment` words; passages are `span`
-segments long and start at every segment, over whole texts. Passages whose cosine with an item is `cosine` or more are
-candidates; for those, the longest common subsequence of the item's words and the words around the passage is found.
-An item counts as contained if that covers `exact` of its words; or, as a paraphrase, `similar` of them if the answer
-check holds too.
+segments long and start at every segment, over whole texts. A list of items for each term gives the pairs of passages
+and items that have two terms in common (one, if the item has one); only they are compared, not every passage with every
+item. Pairs whose cosine is `cosine` or more are candidates; for those, the longest common subsequence of the item's words
+and the words around the passage is found. An item counts as contained if that covers `exact` of its words; or, as a
+paraphrase, `similar` of them if the answer check holds too: the answer's words, or without an answer `key_share` of the
+item's rarest quarter of words, stand in the passage.
 
 Bounds: document frequencies count every document; the SVD, an index, is fitted on all items and on at most
-`fit_rows` documents; items are broadcast, up to `max_items` (more is an error: split the benchmark).
+`fit_rows` documents of at most 65,536 characters. A benchmark of more than `max_items` items or `max_words` words is
+taken in slices, each with its own index, so that what is broadcast stays below max_words x rank numbers.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -32,12 +37,13 @@ PIECE = 1024  # segments, or passages, whose vectors a worker holds at once
 class Settings:
     """segment, span: words of a segment, segments of a passage. rank: dimensions. cosine: least likeness of a
     candidate. exact, similar: shares of an item's words. min_words: shorter items must occur word for word.
-    max_df: words in a larger share of the documents are not terms, but for the `rarest` of each item."""
+    max_df: words in a larger share of the documents are not terms, but for the `rarest` of each item. max_items,
+    max_words: of one index; a larger benchmark has several."""
 
-    def __init__(self, segment: int = 16, span: int = 3, rank: int = 256, cosine: float = 0.35, max_df: float = 0.05, rarest: int = 8, exact: float = 0.75, similar: float = 0.55, min_words: int = 8, max_items: int = 200_000, fit_rows: int = 2000, seed: int = 1):
+    def __init__(self, segment: int = 16, span: int = 3, rank: int = 256, cosine: float = 0.35, max_df: float = 0.05, rarest: int = 8, exact: float = 0.75, similar: float = 0.5, min_words: int = 8, max_items: int = 5000, max_words: int = 100_000, fit_rows: int = 2000, seed: int = 1, key_share: float = 0.4):
         self.segment, self.span, self.rank, self.cosine, self.exact, self.similar = segment, span, rank, cosine, exact, similar
         self.max_df, self.rarest = max_df, rarest
-        self.min_words, self.max_items, self.fit_rows, self.seed = min_words, max_items, fit_rows, seed
+        self.min_words, self.max_items, self.max_words, self.fit_rows, self.seed, self.key_share = min_words, max_items, max_words, fit_rows, seed, key_share
 
 
 def words_of(text: str | None) -> list[str]:
@@ -70,18 +76,23 @@ class Index:
     def __init__(self, settings: Settings, vocabulary: dict[str, int], idf: np.ndarray, vectors: np.ndarray, items: list[tuple[int, list[str], list[str], str | None]]):
         self.s, self.vocabulary, self.idf, self.vectors, self.items = settings, vocabulary, idf, vectors, items
         self.weighted = (vectors * idf[:, None]).astype(np.float32)
-        rows, self.item_of = [], []
+        rows, self.item_of, holders = [], [], []
         size = settings.segment * settings.span
         for k, (_, words, _, _) in enumerate(items):
             for start in range(0, max(1, len(words) - size // 2), size):  # a long item has several passages
                 # a passage without terms keeps a zero row, which nothing is like
                 ids = [vocabulary[w] for w in words[start : start + size] if w in vocabulary]
                 rows.append(self.weighted[ids].sum(axis=0))
+                holders.append(np.unique(np.array(ids, np.int64)))
                 self.item_of.append(k)
         r = np.array(rows, np.float32).reshape(len(rows), vectors.shape[1])
-        # a single term is evidence only for items that have no other
-        self.least_terms = 1 if any(len({w for w in words if w in vocabulary}) < 2 for _, words, _, _ in items) else 2
         self.rows = r / np.maximum(np.linalg.norm(r, axis=1, keepdims=True), 1e-12)
+        # the items' passages that hold a term: self.held[self.first[term] : self.first[term + 1]]
+        terms = np.concatenate([np.zeros(0, np.int64), *holders])
+        order = np.argsort(terms, kind="stable")
+        self.held = np.repeat(np.arange(len(rows)), [len(h) for h in holders])[order]
+        self.first = np.searchsorted(terms[order], np.arange(len(vocabulary) + 1))
+        self.least = np.array([min(2, len(h)) for h in holders], np.int64)  # one term is evidence only if there is no other
 
     def __reduce__(self):
         return Index, (self.s, self.vocabulary, self.idf, self.vectors, self.items)
@@ -108,16 +119,13 @@ class Index:
         if not len(ids):
             return found
         doc_of = np.repeat(np.arange(len(words)), segments)
-        terms = np.bincount(where, minlength=total)
-        held = terms.copy()
-        for k in range(1, s.span):  # a passage ends with its document
-            held[:-k] += np.where(doc_of[k:] == doc_of[:-k], terms[k:], 0)
-        # vectors are made for the passages with enough terms, from the vectors of their segments
-        rows = np.flatnonzero(held >= self.least_terms)
-        if not len(rows):
+        passages, items = self._sharing(ids, where, doc_of)
+        if not len(passages):
             return found
+        # vectors are made for these passages only, from the vectors of their segments
+        rows, at = np.unique(passages, return_inverse=True)
         parts = rows[:, None] + np.arange(s.span)
-        inside = (parts < total) & (doc_of[np.minimum(parts, total - 1)] == doc_of[rows][:, None])
+        inside = (parts < total) & (doc_of[np.minimum(parts, total - 1)] == doc_of[rows][:, None])  # a passage ends with its document
         need = np.zeros(total, bool)
         need[parts[inside]] = True
         place = np.cumsum(need) - 1
@@ -131,21 +139,42 @@ class Index:
             latent[where[e]] = np.add.reduceat(self.weighted[ids[e[0] : stop]], e - e[0], axis=0)
         parts = np.where(inside, place[np.minimum(parts, total - 1)], len(latent) - 1)
         best: dict[tuple[int, int], tuple[float, int, int]] = {}
-        for a in range(0, len(rows), PIECE):
-            at = rows[a : a + PIECE]
+        ends = np.searchsorted(at, np.arange(0, len(rows) + PIECE, PIECE))  # pairs are sorted by passage
+        for n, a in enumerate(range(0, len(rows), PIECE)):
             x = latent[parts[a : a + PIECE]].sum(axis=1)
-            like = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)) @ self.rows.T
-            for q, c in zip(*np.nonzero(like >= s.cosine)):
-                p = int(at[q])
+            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+            own = at[ends[n] : ends[n + 1]]
+            like = np.einsum("ij,ij->i", x[own - a], self.rows[items[ends[n] : ends[n + 1]]])
+            for q in np.flatnonzero(like >= s.cosine):
+                p, c = int(rows[own[q]]), int(items[ends[n] + q])
                 k, item = int(doc_of[p]), self.item_of[c]
                 seen = best.get((k, item))
                 if seen is not None and seen[1] == len(self.items[item][1]):
                     continue
                 common = self._check(words[k], int(p - offset[k]) * s.segment, item)
                 if common is not None and (seen is None or common > seen[1]):
-                    best[k, item] = (float(like[q, c]), common, len(self.items[item][1]))
+                    best[k, item] = (float(like[q]), common, len(self.items[item][1]))
         return [(k, item, *v) for (k, item), v in sorted(best.items())]
 
+    def _sharing(self, ids: np.ndarray, where: np.ndarray, doc_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(passages, items' passages) of the pairs that share enough terms, sorted. ids, where: terms and their segments."""
+        n = len(self.rows)
+        count = self.first[ids + 1] - self.first[ids]
+        start = np.repeat(self.first[ids] - np.concatenate([[0], np.cumsum(count)[:-1]]), count)
+        held = self.held[start + np.arange(len(start))]
+        segment = np.repeat(where, count)
+        keys = []
+        for k in range(self.s.span):  # a segment belongs to the passages that start at it and before it
+            first = segment - k
+            ok = (first >= 0) & (doc_of[np.maximum(first, 0)] == doc_of[segment])
+            keys.append(first[ok] * n + held[ok])
+        key = np.sort(np.concatenate(keys))
+        edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        times = np.diff(np.concatenate([edge, [len(key)]]))
+        key = key[edge]
+        key = key[times >= self.least[key % n]] if len(key) else key
+        return key // n, key % n
+
     def _check(self, words: list[str], start: int, item: int) -> int | None:
         s, (_, own, keys, answer) = self.s, self.items[item]
         room = max(8, len(own) // 3)
@@ -160,23 +189,28 @@ class Index:
         near = set(around[max(0, first - 2) : last + 3])
         if answer is not None:
             return common if set(words_of(answer)) <= near else None
-        return common if 2 * len(near.intersection(keys)) >= len(keys) else None
+        return common if len(near.intersection(keys)) >= s.key_share * len(keys) else None
+
 
+def _slices(benchmark: DataFrame, s: Settings) -> list[DataFrame]:
+    """The benchmark in as many parts, by a hash of the item, as keep each within max_items and max_words."""
+    n, words = benchmark.where("text is not null").agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size(F.split("text", r"\W+"))), F.lit(0))).first()
+    parts = max(1, -(-n // s.max_items), -(-words // s.max_words))
+    return [benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k) for k in range(parts)] if parts > 1 else [benchmark]
 
-def _item_rows(benchmark: DataFrame, s: Settings) -> list[tuple[int, list[str], str | None]]:
+
+def _item_rows(benchmark: DataFrame) -> list[tuple[int, list[str], str | None]]:
     columns = {c.lower() for c in benchmark.columns}
     answer = F.col("answer").cast("string") if "answer" in columns else F.lit(None).cast("string")
-    rows = benchmark.where("text is not null").select(F.col("item_id").cast("bigint"), "text", answer.alias("answer")).limit(s.max_items + 1).collect()
-    if len(rows) > s.max_items:
-        raise ValueError(f"more than {s.max_items} benchmark items: split the benchmark")
-    return sorted((r["item_id"], w, r["answer"]) for r in rows if (w := words_of(r["text"])))
+    rows = benchmark.where("text is not null").select(F.col("item_id").cast("bigint"), "text", answer.alias("answer")).collect()  # a slice
+    return sorted(((r["item_id"], w, r["answer"]) for r in rows if (w := words_of(r["text"]))), key=lambda x: (x[0] is None, x[0] or 0, x[1], x[2] or ""))
 
 
 def build(docs: DataFrame, benchmark: DataFrame, text: str = "text", settings: Settings | None = None) -> Index:
-    """Document frequencies over all of `docs`, and the latent space."""
+    """Document frequencies over all of `docs`, and the latent space of one slice of the benchmark."""
     s = settings or Settings()
     spark = docs.sparkSession
-    items = _item_rows(benchmark, s)
+    items = _item_rows(benchmark)
     vocabulary = {w: i for i, w in enumerate(sorted({w for _, own, _ in items for w in own}))}
     if not items:
         return Index(s, {}, np.zeros(0), np.zeros((0, 1)), [])
@@ -207,11 +241,14 @@ def build(docs: DataFrame, benchmark: DataFrame, text: str = "text", settings: S
     weight = {w: every[i] for w, i in vocabulary.items()}
     vocabulary = {w: k for k, w in enumerate(sorted(terms))}
     idf = np.array([weight[w] for w in vocabulary])
-    vectors = _svd(docs, text, items, vocabulary, idf, s, total)
+    vectors = _svd(docs, text, items, vocabulary, idf, s, total).astype(np.float32)
     give_back()
+    # The rarest words of an item: very rare ones count alike, as a word that a paraphrase has replaced is rarer by that.
+    rare, in_items = max(5, total / 1000), Counter(w for _, own, _ in items for w in set(own))
+    frequency = {w: max(rare, (total + 1) / np.exp(x - 1) - 1) for w, x in weight.items()}
     keyed = []
     for item_id, own, answer in items:
-        order = sorted(set(own), key=lambda w: (-weight[w], w))
+        order = sorted(set(own), key=lambda w: (frequency[w], in_items[w], w))
         keyed.append((item_id, own, order[: max(2, len(order) // 4)], answer))
     return Index(s, vocabulary, idf, vectors, keyed)
 
@@ -276,36 +313,44 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
 
     Documents without an item have no row. Null and empty texts and items have none; items that repeat are found each;
     rows that repeat a key are searched each. No shuffle of documents."""
-    shared = docs.sparkSession.sparkContext.broadcast(build(docs, benchmark, text, settings))
     base = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
+    schema = T.StructType([T.StructField(key, base.schema["__key"].dataType), *T._parse_datatype_string("item_id bigint, cosine double, common_words bigint, item_words bigint, share double").fields])
 
-    def each(batches):
-        index = shared.value
-        for batch in batches:
-            for start in range(0, batch.num_rows, 200):
-                part = batch.slice(start, 200)
-                found = index.search(part.column("__text").to_pylist())
-                if found:
-                    rows, item, cosine, common, size = (np.array(x) for x in zip(*found))
-                    yield pa.RecordBatch.from_arrays([part.column("__key").take(pa.array(rows)), pa.array([index.items[i][0] for i in item], pa.int64()), pa.array(cosine, pa.float64()), pa.array(common, pa.int64()), pa.array(size, pa.int64()), pa.array(common / size, pa.float64())], names=[key, "item_id", "cosine", "common_words", "item_words", "share"])
+    def found(part: DataFrame) -> DataFrame:
+        shared = docs.sparkSession.sparkContext.broadcast(build(docs, part, text, settings))  # a slice's index
 
-    schema = T.StructType([T.StructField(key, base.schema["__key"].dataType), *T._parse_datatype_string("item_id bigint, cosine double, common_words bigint, item_words bigint, share double").fields])
-    return base.mapInArrow(each, schema)
+        def each(batches):
+            index = shared.value
+            for batch in batches:
+                for start in range(0, batch.num_rows, 200):
+                    rows = batch.slice(start, 200)
+                    hits = index.search(rows.column("__text").to_pylist())
+                    if hits:
+                        at, item, cosine, common, size = (np.array(x) for x in zip(*hits))
+                        yield pa.RecordBatch.from_arrays([rows.column("__key").take(pa.array(at)), pa.array([index.items[i][0] for i in item], pa.int64()), pa.array(cosine, pa.float64()), pa.array(common, pa.int64()), pa.array(size, pa.int64()), pa.array(common / size, pa.float64())], names=[key, "item_id", "cosine", "common_words", "item_words", "share"])
+
+        return base.mapInArrow(each, schema)
+
+    return reduce(DataFrame.unionByName, map(found, _slices(benchmark, settings or Settings())))
 
 
 def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", settings: Settings | None = None) -> DataFrame:
     """`docs` with n_items, the number of benchmark items found in each row's text. A column of this name is replaced."""
-    shared = docs.sparkSession.sparkContext.broadcast(build(docs, benchmark, text, settings))
-    base = docs.select(*[docs[c] for c in without(docs, "n_items")])
+    out = docs.select(*[docs[c] for c in without(docs, "n_items")], F.lit(0).cast("bigint").alias("n_items"))
 
-    def each(batches):
-        for batch in batches:
-            n = np.zeros(batch.num_rows, np.int64)
-            column = batch.column(batch.schema.names.index(text))
-            for start in range(0, batch.num_rows, 200):
-                for row, *_ in shared.value.search(column.slice(start, 200).to_pylist()):
-                    n[start + row] += 1
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n)], names=[*batch.schema.names, "n_items"])
-        give_back()
-
-    return base.mapInArrow(each, T.StructType([*base.schema.fields, T.StructField("n_items", T.LongType())]))
+    def added(rows: DataFrame, part: DataFrame) -> DataFrame:
+        shared = docs.sparkSession.sparkContext.broadcast(build(docs, part, text, settings))  # a slice's index
+
+        def each(batches):
+            for batch in batches:
+                n = np.array(batch.column("n_items"), np.int64)
+                column = batch.column(batch.schema.names.index(text))
+                for start in range(0, batch.num_rows, 200):
+                    for row, *_ in shared.value.search(column.slice(start, 200).to_pylist()):
+                        n[start + row] += 1
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n)], names=batch.schema.names)
+            give_back()
+
+        return rows.mapInArrow(each, rows.schema)
+
+    return reduce(added, _slices(benchmark, settings or Settings()), out)
