@@ -1,6 +1,7 @@
 import random
 import zipfile
 from collections import defaultdict
+from decimal import Decimal
 from pathlib import Path
 
 import duckdb
@@ -98,10 +99,21 @@ def test_language(spark, docs, odd):
     got = {r["doc_id"]: r for r in langid.predict(odd, model).collect()}
     assert all(got[k]["lang_pred"] == "und" and got[k]["score"] == 0 for k in (1, 2, 3, 6)) and got[7]["lang_pred"] == "en"
     assert langid.predict(odd.limit(0), langid.train(odd.limit(0))).count() == 0
-    # the forward recursion against all cuts of a word
+    more = spark.createDataFrame([(1, "½ ② Ⅷ 12"), (2, "½the thing"), (3, "the thing"), (3, "the thing"), (4, "the" * 9000)], "doc_id bigint, text string").withColumns({"LANG_PRED": F.lit("x"), "score": F.lit(7)})
+    rows = langid.predict(more, model).collect()
+    assert [r["lang_pred"] for r in rows] == ["und", "en", "en", "en", rows[4]["lang_pred"]] and rows[2] == rows[3] and "LANG_PRED" not in rows[0]
+    tie = langid.Model(["b", "c"], ["▁a"], np.array([[0.5, 0.5]]))
+    assert tie.predict(["a"])[0] == ["b"]
+    # the forward recursion against all cuts of a word, and of a long one against the sum by hand
     small = langid.Model(["x"], ["▁a", "b", "▁ab", "bb", "c"], np.array([[0.3], [0.2], [0.1], [0.25], [0.15]]))
     cuts = 0.3 * 0.2 * 0.2 * 0.15 + 0.3 * 0.25 * 0.15 + 0.1 * 0.2 * 0.15
     assert np.isclose(small.word_scores(["abbc"])[0, 0], np.log(cuts), atol=1e-6)
+    word, table = "ab" * 40 + "bbc" * 30, {p: Decimal(float(x)) for p, x in zip(small.vocabulary, small.p[:, 0])}
+    marked, unknown = "▁" + word, Decimal(langid.UNKNOWN)
+    total = [Decimal(1)] + [Decimal(0)] * len(marked)
+    for end in range(1, len(marked) + 1):
+        total[end] = total[end - 1] * unknown + sum(total[k] * table.get(marked[k:end], 0) for k in range(max(0, end - 3), end))
+    assert np.isclose(small.word_scores([word])[0, 0], float(total[-1].ln()), atol=1e-6)
 
 
 def test_toxicity(spark, odd):
@@ -112,6 +124,22 @@ def test_toxicity(spark, odd):
     m = toxicity.Model({" idiot ": 5.0}, ["idiot proof"], (-5.0, 1.0, 2.0))
     assert m.measure("an 1D10T!")[0] == 5 and m.measure("іdіоt")[0] == 5 and m.measure("idiot$$$ x")[0] == 5
     assert m.measure("idiot proof")[0] == 0 and m.measure("idiotic")[0] == 0 and m.measure(None) == (0.0, 0)
+    assert m.measure("1d!0t")[0] == 5 and m.measure("$$$ idiot")[0] == 5 and toxicity.fold("a$$et @ss $tupid") == "asset ass stupid"
+    clash = toxicity.score(odd.withColumns({"SCORE": F.lit("x"), "n_words": F.lit(None).cast("int")}), m)
+    assert clash.count() == len(ODD) and "SCORE" not in clash.columns and toxicity.score(odd.limit(0), m).count() == 0
+    # the automaton against a search for every entry at every word
+    rnd = random.Random(2)
+    parts = ["ab", "abc", "cab", "bca", "c", "abca", "a"]
+    entries = {" ab ": 2.0, " abc": 3.0, " c ": 1.0, " bca ": 4.0, " ca": 2.5}
+    own = toxicity.Model(entries, ["abc c", "bca"], (0.0, 1.0, 1.0))
+    for _ in range(200):
+        words = rnd.choices(parts, k=rnd.randint(0, 9))
+        line, total = f" {' '.join(words)} ", 0.0
+        spared = {k for p in own.exceptions for k in range(len(line)) if any(line.startswith(f" {p} ", j) and j <= k < j + len(p) + 1 for j in range(len(line)))}
+        for k in range(len(line)):
+            if line[k] == " " and k not in spared:
+                total += max([w for e, w in entries.items() if line.startswith(e, k)], default=0.0)
+        assert own.raw(words) == total
     assert toxicity.score(odd, m).count() == len(ODD)
     assert toxicity.train(odd, labels.limit(0)).entries == {}
 

@@ -69,7 +69,7 @@ def held_out(doc_id="doc_id"):
 
 
 ROWS, BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
-BATCH = 8 << 20  # bytes of an Arrow batch
+BATCH = 4 << 20  # bytes of an Arrow batch
 
 
 @contextlib.contextmanager
@@ -93,6 +93,25 @@ def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set(BYTES, str(BATCH))
 
 
+def slices(sizes: list[int], most: int):
+    """(from, to) runs of rows with about `most` bytes or entries each, so that few Python objects live at once."""
+    start = held = 0
+    for k, n in enumerate(sizes):
+        held += n
+        if held >= most:
+            yield start, k + 1
+            start, held = k + 1, 0
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
+def text_slices(column, most: int = 1 << 19):
+    """(from, to) runs of the rows of an Arrow column of texts, of about `most` bytes each."""
+    import pyarrow.compute as pc
+
+    return slices(pc.fill_null(pc.binary_length(column), 0).to_pylist(), most)
+
+
 def give_back() -> None:
     """Returns freed memory of a Python process to the system: workers stay alive between tasks, the driver between jobs."""
     import ctypes

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._io import give_back, without, written
+from ._io import give_back, text_slices, without, written
 
 WORD = re.compile(r"\w+")
 PIECE = 1024  # segments, or passages, whose vectors a worker holds at once
@@ -221,8 +221,8 @@ def build(docs: DataFrame, benchmark: DataFrame, text: str = "text", settings: S
         both = frozenset(known.value)
         for batch in batches:
             column = batch.column(text)
-            for start in range(0, len(column), 1000):
-                for t in column.slice(start, 1000).to_pylist():
+            for start, end in text_slices(column):
+                for t in column.slice(start, end - start).to_pylist():
                     n += 1
                     for w in both.intersection(words_of(t)):
                         count[known.value[w]] += 1
@@ -322,8 +322,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
         def each(batches):
             index = shared.value
             for batch in batches:
-                for start in range(0, batch.num_rows, 200):
-                    rows = batch.slice(start, 200)
+                for start, end in text_slices(batch.column("__text")):
+                    rows = batch.slice(start, end - start)
                     hits = index.search(rows.column("__text").to_pylist())
                     if hits:
                         at, item, cosine, common, size = (np.array(x) for x in zip(*hits))
@@ -345,8 +345,8 @@ def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", settings: Se
             for batch in batches:
                 n = np.array(batch.column("n_items"), np.int64)
                 column = batch.column(batch.schema.names.index(text))
-                for start in range(0, batch.num_rows, 200):
-                    for row, *_ in shared.value.search(column.slice(start, 200).to_pylist()):
+                for start, end in text_slices(column):
+                    for row, *_ in shared.value.search(column.slice(start, end - start).to_pylist()):
                         n[start + row] += 1
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n)], names=batch.schema.names)
             give_back()

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._io import discard, give_back, small_batches, without, written
+from ._io import discard, give_back, small_batches, text_slices, without, written
 
 WORDS, PERCENT = 5, 80
 HOT_TOKENS, HOT_SAMPLE = 1_000_000, 16
@@ -154,11 +154,11 @@ def prefix(h: np.ndarray, hot: np.ndarray, rank: np.ndarray, percent: int = PERC
     return h[:size], max(0, size - cold)
 
 
-def _texts(batches, text: str, rows: int = 250):
+def _texts(batches, text: str):
     for batch in batches:
         column = batch.column(batch.schema.names.index(text))
-        for start in range(0, len(column), rows):
-            yield batch.slice(start, rows), shingle_sets(column.slice(start, rows).to_pylist())
+        for start, end in text_slices(column):
+            yield batch.slice(start, end - start), shingle_sets(column.slice(start, end - start).to_pylist())
     give_back()
 
 

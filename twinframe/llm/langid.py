@@ -21,10 +21,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from ._io import give_back, held_out, train_rows, without
+from ._io import give_back, held_out, text_slices, train_rows, without
 
 LETTERS = re.compile(r"[^\W\d_]+")
-LONGEST_WORD = 64  # longer runs of letters are cut into words of this length; cuts of a text never cross words
+LONGEST_FIT = 64  # letters; longer words do not take part in the fit
+ROWS = 320_000  # letters of the words that are scored at once
 FLOOR, UNKNOWN = 0.1, 1e-9  # pseudo-count of every piece; probability of a letter that is no piece
 CACHE = 200_000
 
@@ -44,14 +45,12 @@ def pieces(path: str | None = None) -> list[str]:
 
 
 def words_of(text: str | None) -> list[str]:
-    """The words of a text, in lower case, each with the vocabulary's mark of a word's start."""
-    out = []
-    for w in LETTERS.findall((text or "").lower()):
-        if len(w) <= LONGEST_WORD:
-            out.append(w)
-        else:
-            out += [w[i : i + LONGEST_WORD] for i in range(0, len(w), LONGEST_WORD)]
-    return out
+    """The words of a text, runs of letters in lower case; their order does not count."""
+    words = LETTERS.findall((text or "").lower())
+    if all(map(str.isalpha, words)):
+        return words
+    # numbers that are no digits are no letters either
+    return [w for w in words if w.isalpha()] + [w for word in words if not word.isalpha() for w in "".join(c if c.isalpha() else " " for c in word).split()]
 
 
 class Lattice:
@@ -116,8 +115,9 @@ class Model:
         """log probability of each word (all cuts summed) for each language."""
         out = np.zeros((len(words), len(self.languages)))
         for rows, codes in by_length(words):
-            for k in range(0, len(rows), 5_000):
-                out[rows[k : k + 5_000]] = self._forward(codes[k : k + 5_000])
+            step = max(1, ROWS // codes.shape[1])
+            for k in range(0, len(rows), step):
+                out[rows[k : k + step]] = self._forward(codes[k : k + step])
         return out
 
     def _forward(self, codes: np.ndarray) -> np.ndarray:
@@ -135,7 +135,7 @@ class Model:
                 done += 1
                 if done % 16 == 0 and done < length:  # keeps long words above the smallest floating-point numbers
                     top = np.maximum(alpha[done : done + 1].max(axis=0), 1e-300)
-                    alpha[max(0, done - 16) :] /= top
+                    alpha[done : done + self.lattice.longest + 1] /= top  # arcs from here on reach no further
                     scale[:] += np.log(top)
 
         for start, end, rows, piece in self.lattice.find(codes):
@@ -216,26 +216,26 @@ def fit(counts: dict[str, dict[str, int]], vocabulary: list[str], rounds: int =
 def train(df: DataFrame, text: str = "text", lang: str = "lang", vocabulary: str | None = None, train_rows_per_lang: int = 800, train_words: int = 6000, rounds: int = 3) -> Model:
     """A model from the rows of `df` whose text and language are not null.
 
-    Bounds (the model is a classifier fitted on a sample): `train_rows_per_lang` texts a language, those with the
-    smallest hashes of the text, and of each language's words the `train_words` most frequent.
+    Bounds (the model is a classifier fitted on a sample): `train_rows_per_lang` different texts a language, those with the
+    smallest hashes, and of each language's words of at most LONGEST_FIT letters the `train_words` most frequent.
     """
     rows = df.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
     # the bar comes from narrow rows: the hash below which about the wanted number of rows lies, with room for twice as many
-    bar = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    bar = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n"))
     shares = {r["lang"]: min(1.0, 2.0 * train_rows_per_lang / r["n"]) for r in bar.collect()}
     if not shares:
         return Model([], [], np.zeros((0, 0)))
     limit = F.lit(None).cast("double")
     for name, share in shares.items():
         limit = F.when(F.col("lang") == name, F.lit(share)).otherwise(limit)
-    some = rows.where(F.pmod("h", F.lit(1 << 20)) < limit * (1 << 20))
+    some = rows.where(F.pmod("h", F.lit(1 << 20)) < limit * (1 << 20)).dropDuplicates(["lang", "h"])  # copies count once
     some = some.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= train_rows_per_lang)
 
     def count(batches):
         found: dict[str, Counter] = {}
         for batch in batches:
             for name, t in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-                found.setdefault(name, Counter()).update(words_of(t))
+                found.setdefault(name, Counter()).update(w for w in words_of(t) if len(w) <= LONGEST_FIT)
         out = [(name, w, n) for name, c in found.items() for w, n in c.items()]
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], names=["lang", "word", "n"])
@@ -264,13 +264,10 @@ def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
         for batch in batches:
             texts = batch.column(batch.schema.names.index(text))
             langs, scores = [], []
-            start = 0
-            while start < len(texts):
-                part = texts.slice(start, 500).to_pylist()
-                a, b = shared.value.predict(part)
+            for start, end in text_slices(texts):
+                a, b = shared.value.predict(texts.slice(start, end - start).to_pylist())
                 langs += a
                 scores.append(b)
-                start += len(part)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(np.concatenate(scores) if scores else [], pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
         shared.value.forget()
         give_back()

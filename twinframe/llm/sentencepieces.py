@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._io import give_back, without, written
+from ._io import give_back, slices, text_slices, without, written
 
 MARK = "▁"  # stands for a blank
 CHUNK, BLOCK = 32768, 256  # characters of a chunk; chunks of a block
@@ -82,7 +82,7 @@ class Coder:
         """Whether piece b may follow piece a."""
         key = (a, b)
         if key not in self.pairs:
-            if len(self.pairs) > 300_000:
+            if len(self.pairs) > 50_000:
                 self.pairs.clear()
             self.pairs[key] = (len(a) == 1 and a not in self.ids) or (len(b) == 1 and b not in self.ids) or self.merge(a + b) == [a, b]
         return self.pairs[key]
@@ -298,18 +298,6 @@ def encode(df: DataFrame, key: str, text: str, model: str | None = None, chunk_c
     return small.unionByName(big.select(*small.columns))
 
 
-def _slices(sizes: list[int], most: int):
-    """(from, to) runs of rows with about `most` characters or ids each, so that few Python objects live at once."""
-    start = held = 0
-    for k, n in enumerate(sizes):
-        held += n
-        if held >= most:
-            yield start, k + 1
-            start, held = k + 1, 0
-    if start < len(sizes):
-        yield start, len(sizes)
-
-
 def _encode_small(base: DataFrame, text: str, data: bytes, library: bool) -> DataFrame:
     """Texts of one chunk: from the text's start to its end there is one state at either border."""
     schema = T.StructType([*base.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_ids", T.LongType()), T.StructField("n_chunks", T.IntegerType())])
@@ -319,7 +307,7 @@ def _encode_small(base: DataFrame, text: str, data: bytes, library: bool) -> Dat
         for batch in batches:
             column = batch.column(batch.schema.names.index(text))
             # a slice at a time goes back, so that a worker never holds the ids of a whole batch
-            for start, end in _slices(pc.fill_null(pc.binary_length(column), 0).to_pylist(), 1 << 20):
+            for start, end in text_slices(column):
                 texts = column.slice(start, end - start).to_pylist()
                 lists = [np.asarray(coder.encode(MARK + t.replace(" ", MARK)) if t else [], "i4") for t in texts]
                 sizes = np.array([len(x) for x in lists], "i8")
@@ -335,14 +323,19 @@ def _encode_large(base: DataFrame, key: str, text: str, data: bytes, chunk: int,
     parts = _chunks(base, key, text, chunk, margin)
     kind = parts.schema["key"].dataType.simpleString()
 
+    def few_rows(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, 8):
+                yield batch.slice(start, 8)
+        give_back()
+
     def whole(row):
         left = row["lead"]
         return Chunk(_coder(data, library), row["part"], left, min(left + chunk, len(row["part"])), row["no"] == 0, row["no"] == row["n"] - 1)
 
     def matrices(batches):
-        for batch in batches:
-            rows = batch.to_pylist()
-            made = [_pack(whole(r).matrix()) for r in rows]
+        for batch in few_rows(batches):
+            made = [_pack(whole(r).matrix()) for r in batch.to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("n"), batch.column("no"), pa.array(made, pa.binary())], names=["key", "n", "no", "m"])
 
     m = written(parts.mapInArrow(matrices, f"key {kind}, n int, no int, m binary"), "sp-matrices")
@@ -388,9 +381,8 @@ def _encode_large(base: DataFrame, key: str, text: str, data: bytes, chunk: int,
     states = m.join(borders, ["key", "block"]).select("key", "block", "no", "m", "ahead", "behind").groupBy("key", "block").applyInArrow(inside, f"key {kind}, no int, s int, e int")
 
     def trace(batches):
-        for batch in batches:
-            rows = batch.to_pylist()
-            made = [whole(r).trace(r["s"], r["e"]) for r in rows]
+        for batch in few_rows(batches):
+            made = [np.asarray(whole(r).trace(r["s"], r["e"]), "i4") for r in batch.to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("n"), batch.column("no"), pa.array(made, pa.list_(pa.int32()))], names=["key", "n", "no", "ids"])
 
     traced = parts.join(states, ["key", "no"]).select("key", "n", "no", "lead", "part", "s", "e").mapInArrow(trace, f"key {kind}, n int, no int, ids array<int>")
@@ -410,7 +402,7 @@ def decode(df: DataFrame, ids: str = "ids", to: str = "decoded", model: str | No
         sp = _coder(data).sp
         for batch in batches:
             column = batch.column(batch.schema.names.index(ids))
-            for start, end in _slices(pc.fill_null(pc.list_value_length(column), 0).to_pylist(), 1 << 18):
+            for start, end in slices(pc.fill_null(pc.list_value_length(column), 0).to_pylist(), 1 << 18):
                 texts = [None if x is None else sp.decode(x) if x else "" for x in column.slice(start, end - start).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*batch.slice(start, end - start).columns, pa.array(texts, pa.string())], names=[*batch.schema.names, to])
         give_back()

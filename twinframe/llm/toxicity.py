@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._io import give_back, held_out, train_rows, without
+from ._io import give_back, held_out, text_slices, train_rows, without
 
 # Letters of other scripts that look like Latin ones, in pairs.
 LOOKALIKES = "аaеeоoрpсcхxуyкkмmнhтtвbіiјjѕsԁdԛqԝwһhӏlαaβbεeικκkνvοoρpτtυuχxηnωwıiɡgɑa"
@@ -30,7 +30,7 @@ SIGNS = {"@": "a", "$": "s", "!": "i", "|": "i", "+": "t", "€": "e"}
 EXCEPTIONS = ["trash can", "trash bin", "trash bag", "trash collection", "clown fish", "circus clown", "pond scum", "sore loser", "idiot proof"]
 
 WORD = re.compile(r"[^\W\d_]+")
-INNER_SIGN = re.compile(r"(?<=[^\W\d_])[@$!|+€](?=[^\W\d_])")
+SIGN_RUN = re.compile(r"(?<=[^\W\d_])[@$!|+€]+(?=[^\W\d_])|(?<!\S)[@$€]+(?=[^\W\d_])")
 INNER_DIGITS = re.compile(r"(?<=[^\W\d_])[01345789]+|[01345789]+(?=[^\W\d_])")
 PREFIXES = (3, 4, 5, 6)
 
@@ -49,7 +49,7 @@ def fold(text: str) -> str:
     t = text.lower()
     # digits and signs stand for letters only beside letters; the signs that follow a word are punctuation
     t = INNER_DIGITS.sub(lambda m: "".join(DIGITS[c] for c in m[0]), t)
-    t = INNER_SIGN.sub(lambda m: SIGNS[m[0]], t)
+    t = SIGN_RUN.sub(lambda m: "".join(SIGNS[c] for c in m[0]), t)
     return t.replace("l", "i") if t.isascii() else t.translate(FOLD)
 
 
@@ -114,7 +114,7 @@ def _terms(words: list[str]) -> set[str]:
     return out
 
 
-def choose(counts: list[tuple[str, int, int]], n_toxic: int, n_clean: int, least: float = 3.0, sigmas: float = 4.5, most: int = 5000) -> dict[str, float]:
+def choose(counts: list[tuple[str, int, int]], n_toxic: int, n_clean: int, least: float = 3.0, sigmas: float = 4.5) -> dict[str, float]:
     """Entries from (pattern, toxic texts with it, clean texts with it): far likelier in toxic texts (logarithm
     `least`) and not by chance (`sigmas`). An entry that a shorter one covers as well is left out."""
     share = n_toxic / max(1, n_toxic + n_clean)
@@ -134,7 +134,7 @@ def choose(counts: list[tuple[str, int, int]], n_toxic: int, n_clean: int, least
         shorter = [kept[term[:k]] for k in range(2, len(term)) if term[:k] in kept]
         if not shorter or found[term] > max(shorter) + 1.0:
             kept[term] = found[term]
-    return dict(sorted(kept.items(), key=lambda x: (-x[1], x[0]))[:most])
+    return kept
 
 
 def fit_curve(rows: list[tuple[float, int, int]], weights: tuple[float, float]) -> tuple[float, float, float]:
@@ -179,8 +179,9 @@ def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = 2500, except
         yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["term", "a", "b"])
 
     counts = some.mapInArrow(count, "term string, a bigint, b bigint").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    # a looser test than choose() makes keeps the rows that come to the driver to the promising ones, 50,000 at most
-    rows = counts.where("term = '' or a >= 4 and a > 2 * b").orderBy(F.col("term") != "", F.desc(F.col("a") - F.col("b")), "term").limit(50_000).collect()
+    # a looser test than choose() makes keeps the rows that come to the driver to the promising ones: as all come from
+    # rows_per_class texts, each in four of them, they are bounded by a quarter of these texts' words
+    rows = counts.where("term = '' or a >= 4 and a > 2 * b").collect()
     n_toxic, n_clean = next(((r["a"], r["b"]) for r in rows if r["term"] == ""), (0, 0))
     entries = choose([(r["term"], r["a"], r["b"]) for r in rows if r["term"]], n_toxic, n_clean)
     phrases = [" ".join(words_of(p)) for p in exceptions]
@@ -207,14 +208,14 @@ def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """
     keep = without(df, "score", "predicted", "n_words")
     base = df.select(*[df[c] for c in keep])
-    shared = df.sparkSession.sparkContext.broadcast(model)  # the lexicon: 5,000 entries at most
+    shared = df.sparkSession.sparkContext.broadcast(model)  # the lexicon: bounded by the words of the texts that it was learned from
 
     def each(batches):
         for batch in batches:
             m = shared.value
             column, found = batch.column(batch.schema.names.index(text)), []
-            for start in range(0, len(column), 500):
-                found += [m.measure(t) for t in column.slice(start, 500).to_pylist()]
+            for start, end in text_slices(column):
+                found += [m.measure(t) for t in column.slice(start, end - start).to_pylist()]
             scores = [m.score(*x) for x in found]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64()), pa.array([int(s >= 0.7) for s in scores], pa.int32()), pa.array([x[1] for x in found], pa.int64())], names=[*batch.schema.names, "score", "predicted", "n_words"])
         give_back()
