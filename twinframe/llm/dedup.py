@@ -429,7 +429,7 @@ def _components(df: DataFrame, key: str, text: str, percent: int) -> DataFrame:
         return out
 
     index = written(whole.mapInArrow(indexed, schema), "index")
-    members, postings = index.where("part is null"), index.where("part is not null").select("part", "blob")
+    members, postings = written(index.where("part is null").drop("part", "blob"), "members"), index.where("part is not null").select("part", "blob")
     owners = members.where("s is not null").groupBy("s").agg(F.min("k").alias("owner"), F.first("n").alias("n"), *[F.first(f"b{i}").alias(f"b{i}") for i in range(BITMAP)])
 
     def blobs(batches):
@@ -462,6 +462,7 @@ def _components(df: DataFrame, key: str, text: str, percent: int) -> DataFrame:
         return out
 
     lists = keep(postings.groupBy("part").applyInArrow(live_of, "t bigint, s bigint, n bigint, p bigint, w bigint, hot boolean, a bigint, na bigint"), "lists")
+    discard(spark, index)
     firsts = keep(lists.groupBy("s").agg(F.collect_list("t").alias("ts")).join(owners.drop("owner"), "s"), "firsts")
 
     def labelled(rows: DataFrame, known: DataFrame) -> DataFrame:
