@@ -1,3 +1,5 @@
+import gzip
+import hashlib
 import random
 import zipfile
 from collections import defaultdict
@@ -92,6 +94,43 @@ def test_warc(spark, tmp_path):
     assert [f.read(*warc.stored_range(f, d[f"m{k}"])) for k in range(3)] == [b"x", b"xx", b"xxx"]
 
 
+def _record(kind, body, **fields):
+    head = "".join(f"{k.replace('_', '-')}: {v}\r\n" for k, v in {"WARC_Type": kind, **fields, "Content_Length": len(body)}.items())
+    return gzip.compress(f"WARC/1.0\r\n{head}\r\n".encode() + body + b"\r\n\r\n")
+
+
+@pytest.mark.parametrize("index", ["cdxj", None])
+def test_foreign_archives(spark, tmp_path, index):
+    page = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n<p>body"
+    records = [
+        _record("warcinfo", b"software: x\r\n", WARC_Record_ID="<urn:uuid:1>", Content_Type="application/warc-fields"),
+        _record("request", b"GET / HTTP/1.1\r\n\r\n", WARC_Record_ID="<urn:uuid:2>", Content_Type="application/http;msgtype=request"),
+        _record("response", page, WARC_Record_ID="<urn:uuid:3>", Content_Type="application/http;msgtype=response", WARC_Target_URI="http://a/"),
+        _record("revisit", b"", WARC_Record_ID="<urn:uuid:4>", WARC_Refers_To="<urn:uuid:3>", Content_Type="application/http;msgtype=response"),
+    ]
+    path = tmp_path / "other.wacz"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_STORED) as z:
+        z.writestr("pages/pages.jsonl", "{}")
+        z.writestr("archive/one.warc.gz", b"".join(records[:2]))
+        z.writestr("archive/two.warc.gz", b"".join(records[2:]))
+        if index:
+            places = [("one.warc.gz", 0, len(records[0])), ("one.warc.gz", len(records[0]), len(records[1])), ("two.warc.gz", 0, len(records[2])), ("two.warc.gz", len(records[2]), len(records[3]))]
+            z.writestr("indexes/index.cdxj", "".join(f'com,a)/ 2020 {{"offset": "{o}", "length": "{n}", "filename": "{f}"}}\n' for f, o, n in places))
+    got = {r["record_id"]: r for r in warc.read_archives(spark, spark.createDataFrame([(str(path),)], "path string")).collect()}
+    assert [(k[-1], got[k]["record_type"], got[k]["record"]) for k in sorted(got)] == [("1", "warcinfo", None), ("2", "request", None), ("3", "response", None), ("4", "revisit", None)]
+    three, four = got["urn:uuid:3"], got["urn:uuid:4"]
+    assert three["payload"] == b"<p>body" and three["payload_digest"] == warc.digest_text(hashlib.sha1(b"<p>body").digest()) and four["refers_to_id"] == "urn:uuid:3" and four["payload"] is None
+
+
+def test_long_payloads_and_many_tasks(spark):
+    rows = [(k, "u", "é" * 2_000_000 if k == 1 else "x" * k) for k in range(40)] + [(7, "v", "x" * 7)]
+    archives = warc.write_archives(spark.createDataFrame(rows, "page_id bigint, url string, html string"), "page_id", "url", "html")
+    found = warc.read_archives(spark, archives.select("path"))
+    assert found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    got = [(r["record"], r["record_type"], bytes(r["payload"]).decode()) for r in found.collect()]
+    assert sorted(got) == sorted((k, "response", t) for k, _, t in rows)  # rows that repeat the largest number are responses both
+
+
 def test_language(spark, docs, odd):
     rows = langid.query(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert np.mean([r["lang_pred"] == r["lang"] for r in rows]) > 0.95 and all(0 <= r["score"] <= 1 for r in rows)
@@ -219,6 +258,11 @@ def test_quality(spark, odd):
     got = {r["doc_id"]: r for r in quality.judge(odd).collect()}
     assert (got[1]["n_words"], got[1]["base_failed"], got[1]["kept"]) == (0, True, False) and got[7]["n_repeat_words"] == 20000
     assert quality.judge(odd.limit(0)).count() == 0
+    clash = quality.judge(odd.withColumns({"N_WORDS": F.lit("x"), "kept": F.lit(3), "rejected_by": F.lit(None).cast("int")}))
+    assert {r["doc_id"]: (r["n_words"], r["kept"]) for r in clash.collect()} == {k: (r["n_words"], r["kept"]) for k, r in got.items()}
+    tests = quality.base_rules() | quality.rules()
+    found = quality.measure(odd.select("text"), tests)
+    assert {r["rule"] for r in found} == set(tests) == set(quality.INPUTS) and next(r for r in found if r["rule"] == "short")["rejects"] == 0.875
 
 
 def test_sharding(spark):
@@ -404,9 +448,34 @@ def test_classes(spark):
 def test_pipeline(spark, docs):
     import corpus_pipeline
 
-    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
-    kept = {r["doc_id"] for r in corpus_pipeline.run(spark, SF).collect()}
-    assert 0 < len(kept) < docs.count() and {x for x, _ in corpus_pipeline.STAGES} and sum(labels.get(k) == 1 for k in kept) <= sum(labels.values())
+    stages, labels = dict(corpus_pipeline.STAGES), spark.read.parquet(f"{SF}/labels.parquet")
+    rows = docs.collect()
+    ids = lambda df: sorted(r["doc_id"] or 0 for r in df.collect())
+    # each stage against plain Python, or against its operator's answer for each text by itself
+    model = langid.train(_io.train_rows(docs))
+    langs, shares = model.predict([r["text"] for r in rows])
+    assert ids(stages["language"](spark, docs, SF)) == sorted(r["doc_id"] for r, x, p in zip(rows, langs, shares) if x != "und" and p >= corpus_pipeline.LEAST_LANGUAGE_SCORE)
+    lexicon = toxicity.train(docs, _io.train_rows(labels))
+    calm = sorted(r["doc_id"] for r in rows if lexicon.score(*lexicon.measure(r["text"])) < 0.7)
+    assert ids(stages["toxicity"](spark, docs, SF)) == calm
+    marked = {r["doc_id"]: r["toxic"] for r in labels.collect()}
+    assert np.mean([marked[r["doc_id"]] == (r["doc_id"] not in calm) for r in rows if r["doc_id"] in marked]) > 0.9
+    extra = spark.createDataFrame([(None, rows[5]["text"], "en", "s", 1), (None, "alone " * 9, "en", "s", 1), (rows[5]["doc_id"], "other " + "words " * 9, "en", "s", 1), (rows[5]["doc_id"], rows[5]["text"], "en", "s", 1), (10**9, None, None, None, None)], DOC)
+    every = [*rows, *extra.collect()]
+    groups = defaultdict(list)
+    for k, (_, c) in _brute({k: r["text"] for k, r in enumerate(every)}).items():
+        groups[c].append(k)
+    first = [min(g, key=lambda k: (every[k]["doc_id"] is None, every[k]["doc_id"] or 0)) for g in groups.values()]
+    assert ids(stages["near_duplicates"](spark, docs.select("doc_id", "text", "lang", "source", "n_chars").unionByName(extra), SF)) == sorted(every[k]["doc_id"] or 0 for k in first)
+    benchmark = [f" {' '.join(decontaminate.words_of(r['text']))} " for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    clean = ids(stages["decontamination"](spark, docs, SF))
+    holds = {r["doc_id"] for r in rows if any(b in f" {' '.join(decontaminate.words_of(r['text']))} " for b in benchmark)}
+    found = {r["doc_id"] for r in decontaminate.matches(docs, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
+    assert holds and not holds & set(clean) and set(clean) == {r["doc_id"] for r in rows} - found
+    coded = stages["tokens"](spark, docs, SF).collect()
+    assert len(coded) == len(rows) and all(r["round_trip"] for r in coded)
+    kept = ids(corpus_pipeline.run(spark, SF))
+    assert kept and set(kept) <= set(calm) & set(clean) and len(set(kept)) == len(kept)
     empty = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0

@@ -6,6 +6,10 @@ datapackage.json. A reader never extracts anything: it reads the end of the file
 past the 32-bit limits, the ZIP64 one), from there the index member, and then just the byte ranges of the records.
 Files are opened through pyarrow's file systems, so local, HDFS, S3 and GCS paths are read alike.
 
+Archives made elsewhere are read too: any stored members named *.warc.gz, found through indexes of JSON lines or CDXJ lines
+(a key, a time stamp, JSON with offset, length and filename), or, without an index, by walking the gzip members; records
+of any type, with identifiers of any form, with or without a digest.
+
 Records with equal payloads are written once, as response; the others become revisit records that refer to it.
 """
 
@@ -14,20 +18,23 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import re
 import struct
 import uuid
 import zipfile
 import zlib
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._io import new_path
+from ._io import new_path, written
 
 DATA, INDEX, PACKAGE = "archive/data.warc.gz", "indexes/index.jsonl", "datapackage.json"
 DATE = "2020-01-01T00:00:00Z"  # capture times are not known; the field is mandatory
 URN = "urn:x-record:"
+TASK = 16 << 20  # packed bytes that a task reads
 
 
 # ---- files ----
@@ -142,17 +149,24 @@ def parse_record(packed: bytes) -> dict:
     lines = head.decode("utf-8", "replace").split("\r\n")
     if not lines[0].startswith("WARC/"):
         raise ValueError("not a WARC record")
-    fields = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines[1:])}
+    fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
     block = rest[: int(fields["content-length"])]
-    if rest[len(block) :] != b"\r\n\r\n":
+    if len(block) != int(fields["content-length"]) or rest[len(block) :].strip(b"\r\n"):
         raise ValueError("a record's length is wrong")
-    http, _, payload = block.partition(b"\r\n\r\n")
-    length = next(int(x.partition(b":")[2]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
-    digest = fields["warc-payload-digest"].removeprefix("sha1:")
-    if fields["warc-type"] == "response" and (len(payload) != length or digest_text(hashlib.sha1(payload).digest()) != digest):
+    kind, digest, payload, length = fields["warc-type"], fields.get("warc-payload-digest"), block, len(block)
+    if fields.get("content-type", "").startswith("application/http"):
+        http, _, payload = block.partition(b"\r\n\r\n")
+        stated = [int(x.partition(b":")[2]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")]
+        length = stated[0] if kind == "revisit" and stated else len(payload)
+    is_own = fields.get("warc-record-id", "").startswith(f"<{URN}")
+    found = digest_text(hashlib.sha1(payload).digest())
+    if kind == "response" and is_own and digest != f"sha1:{found}":
         raise ValueError("a payload does not match its digest")
-    own = lambda k: fields[k][1 + len(URN) : -1] if k in fields else None
-    return {"record": own("warc-record-id"), "record_type": fields["warc-type"], "target_uri": fields.get("warc-target-uri"), "payload_bytes": length, "payload_digest": digest, "refers_to": own("warc-refers-to"), "payload": payload if fields["warc-type"] == "response" else None}
+    digest = digest.removeprefix("sha1:") if digest else None if kind == "revisit" else found
+    name = lambda k: fields[k].strip("<>") if k in fields else None
+    number = lambda x: int(x[len(URN) :]) if x and re.fullmatch(rf"{re.escape(URN)}-?[0-9]+", x) else None
+    own, other = name("warc-record-id"), name("warc-refers-to")
+    return {"record": number(own), "record_id": own, "record_type": kind, "target_uri": fields.get("warc-target-uri"), "payload_bytes": length, "payload_digest": digest, "refers_to": number(other), "refers_to_id": other, "payload": None if kind == "revisit" else payload}
 
 
 # ---- writing ----
@@ -232,37 +246,72 @@ def write_archives(df: DataFrame, record: str, url: str, payload: str, folder: s
 
 
 def locate(spark: SparkSession, paths: DataFrame) -> DataFrame:
-    """(path, offset, length) of every record in the archives of the `path` column, from the archives' indexes."""
+    """(path, offset, length) of every record in the archives of the `path` column, from the archives' indexes, or, where an
+    archive has none, from a walk over its data."""
+
+    def lines_of(f, at, length):
+        left, done = b"", 0
+        while done < length:
+            piece = f.read(at + done, min(1 << 22, length - done))
+            done += len(piece)
+            lines = (left + piece).split(b"\n")
+            left = lines.pop()
+            yield [x for x in lines if x]
+        yield [left] if left else []
+
+    def indexed(f, members, entry):
+        for lines in lines_of(f, *stored_range(f, entry)):
+            out = []
+            for x in (json.loads(line[line.index(b"{") :]) for line in lines if b"{" in line):
+                own = x.get("filename")
+                start, size = members[own] if own in members else next(iter(members.values()))
+                offset, length = int(x["offset"]), int(x["length"])
+                if offset + length > size:
+                    raise ValueError("the index leads beyond the archive's data")
+                out.append((start + offset, length))
+            yield out
+
+    def walked(f, members):
+        for start, size in members.values():
+            at = begin = 0
+            unpack = zlib.decompressobj(31)
+            while at < size:
+                piece = f.read(start + at, min(1 << 22, size - at))
+                at += len(piece)
+                out = []
+                while piece:
+                    unpack.decompress(piece)
+                    piece = unpack.unused_data
+                    if unpack.eof:
+                        end = at - len(piece)
+                        out.append((start + begin, end - begin))
+                        begin, unpack = end, zlib.decompressobj(31)
+                yield out
 
     def each(batches):
         for batch in batches:
             for path in batch.column("path").to_pylist():
                 f = RangeFile(path)
                 names = directory(f)
-                start, size = stored_range(f, names[DATA])
-                at, length = stored_range(f, names[INDEX])
-                left, done = b"", 0
-                while done < length:
-                    piece = f.read(at + done, min(1 << 22, length - done))
-                    done += len(piece)
-                    lines = (left + piece).split(b"\n")
-                    left = lines.pop()
-                    found = [json.loads(x) for x in lines if x]
-                    if any(x["offset"] + x["length"] > size for x in found):
-                        raise ValueError("the index leads beyond the archive's data")
-                    yield pa.RecordBatch.from_arrays([pa.array([path] * len(found), pa.string()), pa.array([start + x["offset"] for x in found], pa.int64()), pa.array([x["length"] for x in found], pa.int64())], names=["path", "offset", "length"])
+                members = {n.rpartition("/")[2]: stored_range(f, e) for n, e in sorted(names.items()) if n.endswith(".warc.gz")}
+                indexes = [e for n, e in sorted(names.items()) if n.startswith("indexes/") and n.endswith((".jsonl", ".cdxj", ".cdx"))]
+                for found in chain.from_iterable(indexed(f, members, e) for e in indexes) if indexes else walked(f, members):
+                    if found:
+                        offset, length = zip(*found)
+                        yield pa.RecordBatch.from_arrays([pa.array([path] * len(found), pa.string()), pa.array(offset, pa.int64()), pa.array(length, pa.int64())], names=["path", "offset", "length"])
                 f.close()
 
     return paths.select("path").mapInArrow(each, "path string, offset bigint, length bigint")
 
 
 def read_archives(spark: SparkSession, paths: DataFrame, payloads: bool = True, block: int = 1 << 22) -> DataFrame:
-    """One row for each record: record bigint, target_uri, record_type, payload_bytes, payload_digest, refers_to
-    and, if `payloads`, payload binary (null for revisits). Records are read by range, neighbours in one read of
-    about `block` bytes. The places of records, not the archives, are dealt to tasks, so one large archive is read
-    by many."""
-    names = ["record", "target_uri", "record_type", "payload_bytes", "payload_digest", "refers_to"] + ["payload"] * payloads
-    kinds = dict(zip(names, (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary())))
+    """One row for each record: record bigint and record_id, target_uri, record_type, payload_bytes, payload_digest,
+    refers_to bigint and refers_to_id and, if `payloads`, payload binary (null for revisits). The numbers are null unless
+    the identifiers are this module's own. Records are read by range, neighbours in one read of about `block` bytes. The
+    places of records, not the archives, are dealt to as many tasks as their bytes ask for, TASK bytes each, so one large
+    archive is read by many."""
+    names = ["record", "record_id", "target_uri", "record_type", "payload_bytes", "payload_digest", "refers_to", "refers_to_id"] + ["payload"] * payloads
+    kinds = dict(zip(names, (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary())))
 
     def flush(rows):
         return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], kinds[n]) for n in names], names=names)
@@ -285,8 +334,6 @@ def read_archives(spark: SparkSession, paths: DataFrame, payloads: bool = True,
                 raw = f.read(start, end - start)
                 for _, at, n in places[k:last]:
                     r = parse_record(raw[at - start : at - start + n])
-                    for key in ("record", "refers_to"):
-                        r[key] = None if r[key] in (None, "None") else int(r[key])
                     rows.append(r)
                     held += r["payload_bytes"]
                 if len(rows) >= 5000 or held > 1 << 25:
@@ -298,8 +345,11 @@ def read_archives(spark: SparkSession, paths: DataFrame, payloads: bool = True,
         if rows:
             yield flush(rows)
 
-    placed = locate(spark, paths).repartition("path", F.floor(F.col("offset") / block))
-    schema = "record bigint, target_uri string, record_type string, payload_bytes bigint, payload_digest string, refers_to bigint" + ", payload binary" * payloads
+    places = written(locate(spark, paths), "warc-places")
+    total = places.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    tasks = max(spark.sparkContext.defaultParallelism, -(-total // TASK))
+    placed = places.repartition(tasks, "path", F.floor(F.col("offset") / block))  # a stated number is not merged for the places' small size
+    schema = "record bigint, record_id string, target_uri string, record_type string, payload_bytes bigint, payload_digest string, refers_to bigint, refers_to_id string" + ", payload binary" * payloads
     return placed.mapInArrow(each, schema)
 
 
