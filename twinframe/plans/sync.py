@@ -62,5 +62,5 @@ def write_data_script(changes: DataFrame, path: str) -> None:
 
 
 def write_schema_script(script: DataFrame, path: str) -> None:
-    """The statements of schema_script() in their order, as text; empty ones are left out."""
-    script.where("sql <> ''").orderBy("rank", "table_name", "name").select("sql").write.mode("overwrite").text(path)
+    """The statements of schema_script(), which come in order and without empty ones, as a folder of text files."""
+    script.select("sql").write.mode("overwrite").text(path)
