@@ -21,6 +21,7 @@ from ._io import new_path, without, written
 # The rules (action, host and path).
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 MAX_WORDS, MAX_LEVELS = 1 << 17, 40
+RATE = 1 / 32  # share of the other keys that a level lets through, at most
 
 
 def host_of(url: Column) -> Column:
@@ -117,7 +118,8 @@ def build(universe: DataFrame, max_words: int = MAX_WORDS) -> Cascade:
         level = len(levels)
         if level >= MAX_LEVELS:
             raise RuntimeError("the cascade does not end: the key hashes collide")
-        rate = min(0.5, max(1e-4, n_in / (math.sqrt(2) * max(n_out, 1)))) if level == 0 else 0.5
+        # a lower rate than the smallest arrays ask for: some five levels, each a job or two, instead of some twenty
+        rate = min(RATE, max(1e-4, n_in / (math.sqrt(2) * max(n_out, 1)))) if level == 0 else RATE
         hashes = max(1, round(math.log2(1 / rate)))
         total = max(64, math.ceil(n_in * hashes * 1.45))
         parts = max(1, math.ceil(total / 64 / max_words))
