@@ -362,6 +362,41 @@ def test_wrapped_licenses(spark):
     assert [(r["license_sentences"], r["license"], r["licenses"]) for r in got] == [(r["want_n"], r["want"], r["want"] or "") for r in got]
 
 
+NOTICES = {
+    "GPL-2.0": """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version 2 of the License, or
+(at your option) any later version.""",
+    "LGPL-2.1": """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.""",
+    "AGPL-3.0": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU Affero General Public License as published
+by the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.""",
+    "Unlicense": """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software.""",
+    "Zlib": """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages.""",
+    "BSL-1.0": "// Distributed under the Boost Software License, Version 1.0.\n// (See accompanying file)",
+}
+
+
+def test_more_notices(spark, odd):
+    three = "3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.\n\nTHIS SOFTWARE IS"
+    rows = [*NOTICES.items(), ("BSD-3-Clause", BSD.replace("THIS SOFTWARE IS", three)), ("BSD", BSD), ("GPL-3.0", GPL)]
+    df = spark.createDataFrame([(w, "x", 1, "# " + t.replace("\n", "\n# ")) for w, t in rows], "license string, __ids string, __sentences int, text string").withColumnRenamed("license", "want")
+    got = licenses.scan(df).collect()
+    assert [r["license"] for r in got] == [r["want"] for r in got] and {r["__ids"] for r in got} == {"x"}
+    assert licenses.scan(odd.limit(0)).count() == 0
+
+
 def _brute(texts):
     sets = {}
     for k, t in texts.items():

@@ -38,6 +38,20 @@ SENTENCES = {
     "cc0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
     "mpl2": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "reserved": "All rights reserved.",
+    "gpl2-redistribute": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "lgpl21-redistribute": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "lgpl3-redistribute": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "agpl3-redistribute": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "isc-permission": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "bsd3-names": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "unlicense": "This is free and unencumbered software released into the public domain.",
+    "zlib-asis": "This software is provided 'as-is', without any express or implied warranty.",
+    "boost": "Distributed under the Boost Software License, Version 1.0.",
+    "mpl11": 'The contents of this file are subject to the Mozilla Public License Version 1.1 (the "License"); you may not use this file except in compliance with the License.',
+    "epl2": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "cc-by-nc-sa-4": "Licensed under CC BY-NC-SA 4.0.",
+    "cc-by-nc-nd-4": "Licensed under CC BY-NC-ND 4.0.",
+    "cc-by-nd-4": "Licensed under CC BY-ND 4.0.",
 }
 
 # Rules in order, the more specific first.
@@ -45,6 +59,7 @@ RULES = [
     ("GPL-3.0", ["gpl-redistribute", "gpl-hope", "gpl-copy"]),
     ("Apache-2.0", ["apache2-you", "apache2-obtain", "apache2-asis"]),
     ("MIT", ["mit-permission", "mit-asis"]),
+    ("BSD-3-Clause", ["bsd-redistribution", "bsd3-names", "bsd-asis"]),
     ("BSD", ["bsd-redistribution", "bsd-asis"]),
     ("GPL-3.0", ["gpl3-work"]),
     ("GPL-3.0", ["gpl-redistribute"]),
@@ -57,6 +72,19 @@ RULES = [
     ("CC-BY-4.0", ["cc-by-4"]),
     ("CC0-1.0", ["cc0"]),
     ("MPL-2.0", ["mpl2"]),
+    ("AGPL-3.0", ["agpl3-redistribute"]),
+    ("LGPL-3.0", ["lgpl3-redistribute"]),
+    ("LGPL-2.1", ["lgpl21-redistribute"]),
+    ("GPL-2.0", ["gpl2-redistribute"]),
+    ("ISC", ["isc-permission"]),
+    ("Unlicense", ["unlicense"]),
+    ("Zlib", ["zlib-asis"]),
+    ("BSL-1.0", ["boost"]),
+    ("MPL-1.1", ["mpl11"]),
+    ("EPL-2.0", ["epl2"]),
+    ("CC-BY-NC-SA-4.0", ["cc-by-nc-sa-4"]),
+    ("CC-BY-NC-ND-4.0", ["cc-by-nc-nd-4"]),
+    ("CC-BY-ND-4.0", ["cc-by-nd-4"]),
 ]
 
 # Line ends stand for blanks, so a name before a line's end may be part of a longer sentence: that names the licence too.
@@ -119,6 +147,12 @@ def _found(column: Column, pattern: str) -> Column:
     return F.transform(F.regexp_extract_all(flat, F.lit(pattern), F.lit(1)), lambda s: F.regexp_replace(s, r"[ \n]+", " "))
 
 
+def _unused(df: DataFrame, name: str) -> str:
+    while name in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def scan(df: DataFrame, text: str = "text", sentences: dict[str, str] = SCAN_SENTENCES, rules: list = SCAN_RULES, wordings: dict[str, list[str]] = WORDINGS) -> DataFrame:
     """Adds license_sentences (count of known sentences), license (of the first rule in order that matches, or null)
     and licenses (all licences matched, each once, in the rules' order, joined by commas; '' if none).
@@ -128,15 +162,16 @@ def scan(df: DataFrame, text: str = "text", sentences: dict[str, str] = SCAN_SEN
     """
     numbers, by_name, pattern = _wordings(sentences, wordings)
     known = F.create_map(*[F.lit(x) for pair in numbers.items() for x in pair])
-    base = df.withColumn("__sentences", _found(F.coalesce(df[text], F.lit("")), pattern))
-    base = base.withColumn("__ids", F.concat(F.lit(" "), F.array_join(F.transform("__sentences", lambda s: F.element_at(known, s).cast("string")), "  "), F.lit(" ")))
-    hits = [(name, F.col("__ids").contains("  ".join(f"{n}" for k in seq for n in by_name[k]).join("  "))) for name, seq in rules]
+    s, ids = (_unused(df, x) for x in ("__sentences", "__ids"))
+    base = df.withColumn(s, _found(F.coalesce(df[text], F.lit("")), pattern))
+    base = base.withColumn(ids, F.concat(F.lit(" "), F.array_join(F.transform(s, lambda x: F.element_at(known, x).cast("string")), "  "), F.lit(" ")))
+    hits = [(name, F.col(ids).contains("  ".join(f"{n}" for k in seq for n in by_name[k]).join("  "))) for name, seq in rules]
     found = F.array_distinct(F.filter(F.array(*[F.when(hit, F.lit(name)) for name, hit in hits]), lambda x: x.isNotNull()))
-    has = F.size("__sentences") > 0
+    has = F.size(s) > 0
     keep = without(df, "license_sentences", "license", "licenses")
     return base.select(
         *[base[c] for c in keep],
-        F.size("__sentences").cast("bigint").alias("license_sentences"),
+        F.size(s).cast("bigint").alias("license_sentences"),
         F.when(has, F.coalesce(*[F.when(hit, F.lit(name)) for name, hit in hits])).alias("license"),
         F.when(has, F.array_join(found, ",")).otherwise("").alias("licenses"),
     )
