@@ -91,14 +91,28 @@ def load_rules(path: str) -> list[Rule]:
     return [Rule(r["table"], tuple(r.get("comparisonKey") or ()), tuple(r.get("key") or ())) for r in _parse(path)["rules"]]
 
 
+def _name(c: Connection, table: str) -> str:
+    quote = '"' if c.type == "postgres" else "`"
+    own = lambda x: quote + x.replace(quote, quote * 2) + quote
+    return own(table) if c.type == "mysql" or c.schema == "public" else f"{own(c.schema)}.{own(table)}"
+
+
+def key_bounds(spark: SparkSession, c: Connection, table: str, key: str) -> tuple[int, int] | None:
+    """The smallest and the largest key of a server's table; None if the keys are no integers, or there are none."""
+    quote = '"' if c.type == "postgres" else "`"
+    k = quote + key.replace(quote, quote * 2) + quote
+    row = spark.read.format("jdbc").options(**c.jdbc()).option("query", f"SELECT min({k}) AS low, max({k}) AS high FROM {_name(c, table)}").load().first()
+    return tuple(row) if all(isinstance(x, int) for x in row) else None
+
+
 def read_table(spark: SparkSession, c: Connection, table: str, columns: list[str] | None = None, key: str | None = None, bounds: tuple | None = None, partitions: int = 8, batch_size: int = 1000) -> DataFrame:
-    """A table of a connection. With an integer key and its bounds a JDBC read is split into `partitions` ranges."""
+    """A table of a connection. With a key a JDBC read is split into `partitions` ranges of it, between `bounds` or, if
+    none are given, between the bounds that the server tells; a key of other than integers gives one range."""
     if c.type == "parquet":
         df = spark.read.parquet(f"{c.dbname}/{table}.parquet")
     else:
-        quote = '"' if c.type == "postgres" else "`"
-        name = f"{quote}{table}{quote}" if c.type == "mysql" or c.schema == "public" else f"{quote}{c.schema}{quote}.{quote}{table}{quote}"
-        reader = spark.read.format("jdbc").options(**c.jdbc(batch_size)).option("dbtable", name)
+        reader = spark.read.format("jdbc").options(**c.jdbc(batch_size)).option("dbtable", _name(c, table))
+        bounds = bounds or (key_bounds(spark, c, table, key) if key else None)
         if key and bounds:
             reader = reader.options(partitionColumn=key, lowerBound=str(bounds[0]), upperBound=str(bounds[1]), numPartitions=str(partitions))
         df = reader.load()
