@@ -1,6 +1,7 @@
 import gzip
 import hashlib
 import random
+import tracemalloc
 import zipfile
 from collections import defaultdict
 from decimal import Decimal
@@ -469,6 +470,21 @@ def test_join_of_groups_around_the_threshold(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in dedup.components(df).collect()} == _brute(texts)
 
 
+def test_long_texts_among_short_ones():
+    words = [f"w{k * 7919 % 90001}" for k in range(700_000)]
+    for k in (5, 300_000):
+        words[k] = "ab" * 1_500_000
+    long, short = "\t ".join(words), ["a b c d e f", None, "", "x"] * 300
+    tracemalloc.start()
+    got = dedup.shingle_sets([*short, long, *short])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300 << 20  # 500 MB when all of a long text is hashed at a time
+    hashes = dedup._words(" ".join(words).encode() + b" ")[1]
+    assert np.array_equal(got[len(short)], dedup._set(hashes, dedup.WORDS))
+    assert [x.tolist() for x in got[: len(short)]] == [x.tolist() for x in got[len(short) + 1 :]] == [x.tolist() for x in dedup.shingle_sets(short[:4])] * 300
+
+
 def test_classes(spark):
     rnd = random.Random(5)
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [tuple(rnd.sample(range(200, 260), 2)) for _ in range(25)] + [(7, 7)]

@@ -78,10 +78,14 @@ def _words(buffer: bytes) -> tuple[np.ndarray, np.ndarray]:
     hashes = _mix(np.add.reduceat(value, starts))
     ends = np.flatnonzero(white & ~before)
     for k in np.flatnonzero(ends - starts > _LONG):
-        hashes[k] = int.from_bytes(hashlib.blake2b(buffer[starts[k] : ends[k]], digest_size=8).digest(), "little")
+        hashes[k] = _digest(buffer[starts[k] : ends[k]])
     return starts, hashes
 
 
+def _digest(word: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+
+
 def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text; A-Z count as a-z; null and blank texts have none."""
     out: list[np.ndarray] = []
@@ -89,9 +93,12 @@ def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray
     while k < len(texts):
         parts, held = [], 0
         while k + len(parts) < len(texts) and (not parts or held < _BLOCK):
-            parts.append((texts[k + len(parts)] or "").encode("utf-8", "surrogatepass").lower())
-            held += len(parts[-1]) + 1
-        if len(parts) == 1 and held > 2 * _BLOCK:
+            part = (texts[k + len(parts)] or "").encode("utf-8", "surrogatepass").lower()
+            if parts and len(part) > _BLOCK:
+                break  # a long text goes alone, block by block
+            parts.append(part)
+            held += len(part) + 1
+        if len(parts) == 1 and held > _BLOCK:
             out.append(_set(_long(parts[0]), words))
         else:
             starts, hashes = _words(b" ".join(parts) + b" ")
@@ -102,13 +109,19 @@ def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray
 
 
 def _long(raw: bytes) -> np.ndarray:
-    """Word hashes of one very long text, block by block, cut at white space."""
+    """Word hashes of one very long text, block by block, cut at white space; a word longer than a block is a digest."""
     out, start = [], 0
     while start < len(raw):
-        gap = _GAP.search(raw, min(len(raw), start + _BLOCK))
-        end = gap.start() if gap else len(raw)
-        out.append(_words(raw[start:end] + b" ")[1])
-        start = end
+        end = start + _BLOCK
+        if end < len(raw):
+            end = max(raw.rfind(c, start, end) for c in (b" ", b"\t", b"\n", b"\v", b"\f", b"\r"))
+        if end < start:
+            gap = _GAP.search(raw, start + _BLOCK)
+            end = gap.start() if gap else len(raw)
+            out.append(np.array([_digest(raw[start:end])], np.uint64))
+        else:
+            out.append(_words(raw[start:end] + b" ")[1])
+        start = end + 1
     return np.concatenate(out)
 
 
