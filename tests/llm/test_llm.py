@@ -531,3 +531,22 @@ def test_pipeline(spark, docs):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0
     assert Path(corpus_pipeline.__file__).exists()
+
+
+def test_stages_give_heap_back(spark, docs):
+    import corpus_pipeline
+
+    def collections():
+        beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+        return sum(b.getCollectionCount() for b in beans if "Young" not in b.getName())
+
+    few = docs.limit(60)
+    for name, stage in corpus_pipeline.STAGES:
+        before = collections()
+        stage(spark, few, SF)
+        assert collections() > before, name  # none when heaps keep the size that earlier stages have grown them to
+    size = spark._jvm.java.lang.Runtime.getRuntime().totalMemory
+    spark.range(0, 2_000_000, 1, 8).select(F.sha2(F.col("id").cast("string"), 512).alias("v"), F.pmod("id", F.lit(97)).alias("k")).groupBy("k").agg(F.collect_list("v").alias("x")).write.format("noop").mode("overwrite").save()
+    grown = size()
+    _io.collect_garbage(spark)
+    assert size() < grown

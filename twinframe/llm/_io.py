@@ -93,6 +93,14 @@ def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set(BYTES, str(BATCH))
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Has the executors' JVMs collect their garbage and return what their heaps no longer need: a heap that has grown keeps
+    its size otherwise, beside the Python workers of the next stage. One task for each core, so that idle executors each
+    get theirs; whether one is left out changes no result."""
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.expr("reflect('java.lang.System', 'gc')").alias("done")).write.format("noop").mode("overwrite").save()
+
+
 def slices(sizes: list[int], most: int):
     """(from, to) runs of rows with about `most` bytes or entries each, so that few Python objects live at once."""
     start = held = 0
