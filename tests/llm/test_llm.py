@@ -234,6 +234,25 @@ def test_paraphrases_and_slices(spark, docs):
     assert {(d, i) for d, i in found} <= {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(every, twice).collect()}
 
 
+def test_items_word_for_word_are_found_among_any_words(spark, tmp_path):
+    """Items of 1 to 90 words between words that are rarer than theirs, which make the passage unlike the item."""
+    import corpus_pipeline
+
+    rnd = random.Random(8)
+    common, rare = [f"c{i}" for i in range(120)], [f"r{i}" for i in range(600)]
+    items = [[rnd.choice(common) for _ in range(n)] + [f"own{k}"] for k, n in enumerate([0, 1, 2, 3, 5, 6, 7, 8, 9, 12, 20, 33, 40, 47, 48, 60, 90] * 3)]
+    glossary = [rare[k : k + 30] for k in range(0, 600, 30)]  # items as well, so that their words count
+    spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate([*items, *glossary])], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    around = lambda: rnd.sample(rare, rnd.randrange(20, 60))
+    holding = [(k, " ".join(around() + w + around())) for k, w in enumerate(items)]
+    clean = [(1000 + k, " ".join(around() + around())) for k in range(40)] + [(2000 + k, " ".join(rnd.choices(common, k=80) + [f"own{k}"] * (k > 8))) for k in range(300)]
+    docs = spark.createDataFrame(holding + clean, "doc_id bigint, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(docs, spark.read.parquet(f"{tmp_path}/benchmark.parquet")).where("doc_id < 1000").collect()}
+    assert [k for k, _ in holding if (k, k) not in found] == []
+    kept = {r["doc_id"] for r in dict(corpus_pipeline.STAGES)["decontamination"](spark, docs, str(tmp_path)).collect()}
+    assert not kept & {k for k, _ in holding} and kept >= {k for k, _ in clean if k < 2000}
+
+
 def test_sharing_pairs_against_counting():
     """The pairs that the list of items gives, against all pairs of passages and items."""
     rnd = random.Random(6)
@@ -533,6 +552,13 @@ def test_pipeline(spark, docs):
     assert Path(corpus_pipeline.__file__).exists()
 
 
+def test_documents_that_name_no_language_stay(spark, odd):
+    import corpus_pipeline
+
+    kept = dict(corpus_pipeline.STAGES)["language"](spark, odd.withColumn("lang", F.lit(None).cast("string")), SF)
+    assert kept.columns == odd.columns and sorted(r["doc_id"] for r in kept.collect()) == [4, 4, 5, 7]
+
+
 def test_stages_give_heap_back(spark, docs):
     import corpus_pipeline
 

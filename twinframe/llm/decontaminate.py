@@ -5,8 +5,10 @@ raise a passage's likeness to one). A randomised SVD, computed by tasks over a p
 latent space of `rank` dimensions. Every document is cut into segments of `segment` words; passages are `span`
 segments long and start at every segment, over whole texts. A list of items for each term gives the pairs of passages
 and items that have two terms in common (one, if the item has one); only they are compared, not every passage with every
-item. Pairs whose cosine is `cosine` or more are candidates; for those, the longest common subsequence of the item's words
-and the words around the passage is found. An item counts as contained if that covers `exact` of its words; or, as a
+item. Pairs whose cosine is `cosine` or more are candidates, and so are, whatever their cosine, pairs that share half of the
+terms of the item's passage (all, if the item must occur word for word): an item that stands in a text word for word
+is a candidate at one of its passages at least, however short it is and whatever stands around it. For candidates, the
+longest common subsequence of the item's words and the words around the passage is found. An item counts as contained if that covers `exact` of its words; or, as a
 paraphrase, `similar` of them if the answer check holds too: the answer's words, or without an answer `key_share` of the
 item's rarest quarter of words, stand in the passage.
 
@@ -36,7 +38,7 @@ PIECE = 1024  # segments, or passages, whose vectors a worker holds at once
 
 class Settings:
     """segment, span: words of a segment, segments of a passage. rank: dimensions. cosine: least likeness of a
-    candidate. exact, similar: shares of an item's words. min_words: shorter items must occur word for word.
+    candidate that shares few terms. exact, similar: shares of an item's words. min_words: shorter items must occur word for word.
     max_df: words in a larger share of the documents are not terms, but for the `rarest` of each item. max_items,
     max_words: of one index; a larger benchmark has several."""
 
@@ -93,6 +95,10 @@ class Index:
         self.held = np.repeat(np.arange(len(rows)), [len(h) for h in holders])[order]
         self.first = np.searchsorted(terms[order], np.arange(len(vocabulary) + 1))
         self.least = np.array([min(2, len(h)) for h in holders], np.int64)  # one term is evidence only if there is no other
+        # with so many terms in common a pair needs no likeness. Passages begin at every segment, so an item that stands in
+        # a text lies in one passage if it's short, and otherwise in two, one of which has half of its terms
+        whole = [len(items[k][1]) < min(settings.min_words, size - settings.segment + 2) for k in self.item_of]
+        self.enough = np.array([len(h) if w else -(-len(h) // 2) for h, w in zip(holders, whole)], np.int64)
 
     def __reduce__(self):
         return Index, (self.s, self.vocabulary, self.idf, self.vectors, self.items)
@@ -119,7 +125,7 @@ class Index:
         if not len(ids):
             return found
         doc_of = np.repeat(np.arange(len(words)), segments)
-        passages, items = self._sharing(ids, where, doc_of)
+        passages, items, shared = self._shared(ids, where, doc_of)
         if not len(passages):
             return found
         # vectors are made for these passages only, from the vectors of their segments
@@ -144,9 +150,10 @@ class Index:
             x = latent[parts[a : a + PIECE]].sum(axis=1)
             x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
             own = at[ends[n] : ends[n + 1]]
-            like = np.einsum("ij,ij->i", x[own - a], self.rows[items[ends[n] : ends[n + 1]]])
-            for q in np.flatnonzero(like >= s.cosine):
-                p, c = int(rows[own[q]]), int(items[ends[n] + q])
+            theirs, common_terms = items[ends[n] : ends[n + 1]], shared[ends[n] : ends[n + 1]]
+            like = np.einsum("ij,ij->i", x[own - a], self.rows[theirs])
+            for q in np.flatnonzero((like >= s.cosine) & (common_terms >= self.least[theirs]) | (common_terms >= self.enough[theirs])):
+                p, c = int(rows[own[q]]), int(theirs[q])
                 k, item = int(doc_of[p]), self.item_of[c]
                 seen = best.get((k, item))
                 if seen is not None and seen[1] == len(self.items[item][1]):
@@ -157,7 +164,14 @@ class Index:
         return [(k, item, *v) for (k, item), v in sorted(best.items())]
 
     def _sharing(self, ids: np.ndarray, where: np.ndarray, doc_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(passages, items' passages) of the pairs that share enough terms, sorted. ids, where: terms and their segments."""
+        """(passages, items' passages) of the pairs that share enough terms to be compared, sorted."""
+        passages, items, shared = self._shared(ids, where, doc_of)
+        ok = shared >= self.least[items]
+        return passages[ok], items[ok]
+
+    def _shared(self, ids: np.ndarray, where: np.ndarray, doc_of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(passages, items' passages, occurrences of terms in common) of the pairs that may be candidates, sorted.
+        ids, where: terms and their segments."""
         n = len(self.rows)
         count = self.first[ids + 1] - self.first[ids]
         start = np.repeat(self.first[ids] - np.concatenate([[0], np.cumsum(count)[:-1]]), count)
@@ -172,8 +186,9 @@ class Index:
         edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
         times = np.diff(np.concatenate([edge, [len(key)]]))
         key = key[edge]
-        key = key[times >= self.least[key % n]] if len(key) else key
-        return key // n, key % n
+        passages, items = key // n, key % n
+        ok = times >= np.minimum(self.least, self.enough)[items]
+        return passages[ok], items[ok], times[ok]
 
     def _check(self, words: list[str], start: int, item: int) -> int | None:
         s, (_, own, keys, answer) = self.s, self.items[item]
